@@ -39,7 +39,7 @@ def words(c: Column) -> Column:
 def token(c: Column) -> Column:
     """A typed name as a token: brackets removed, lower case, hyphens and white space as single spaces."""
     c = F.regexp_replace(c, r"\([^)]*\)", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "-", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "-", " "), r"[\s\p{Z}]+", " "))
 
 
 def gloss(c: Column) -> Column:
@@ -50,4 +50,4 @@ def gloss(c: Column) -> Column:
 
 def any_word(c: Column, pattern_words: Column) -> Column:
     """Whether one of the words, already escaped and joined by |, stands in c as a whole word, in any case."""
-    return c.rlike(F.concat(F.lit(r"(?i)\b("), pattern_words, F.lit(r")\b")))
+    return F.regexp_like(c, F.concat(F.lit(r"(?i)\b("), pattern_words, F.lit(r")\b")))
