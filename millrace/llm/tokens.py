@@ -9,7 +9,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.runtime import require, ship
@@ -173,24 +173,19 @@ def _pieces(long: DataFrame, kind: str, size: int, overlap: int) -> DataFrame:
         raise ValueError("the overlap must be smaller than a chunk")
     chunks = long.mapInArrow(_cut(size, overlap), f"_id {kind}, _chunk int, _text string").repartition("_id", "_chunk")
     reports = chunks.mapInArrow(_report(size, overlap), f"_id {kind}, _chunk int, _head array<int>, _tail array<int>, _safe int")
-    # a boundary in common with the chunk before; few numbers a chunk, no text
-    shared = reports.select("_id", F.col("_chunk") + 1, "_tail").toDF("_id", "_chunk", "_before")
-    joined = reports.join(shared, ["_id", "_chunk"], "left").select("_id", "_chunk", "_safe", F.array_min(F.array_intersect("_head", "_before")).alias("_common"))
-    # a common boundary counts if the chunk before is in step, that is, has a cut of its own
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("_chunk", "_common", "_safe"))),
-        F.array().cast("array<struct<c:int,cut:int>>"),
-        lambda done, x: F.concat(
-            done,
-            F.array(
-                F.struct(
-                    x["_chunk"].alias("c"),
-                    F.when(x["_chunk"] == 0, F.lit(0)).when(F.try_element_at(done, F.lit(-1))["cut"].isNotNull() & x["_common"].isNotNull(), x["_common"]).otherwise(x["_safe"]).alias("cut"),
-                )
-            ),
-        ),
-    )
-    cuts = joined.groupBy("_id").agg(fold.alias("_cuts")).select("_id", F.explode("_cuts").alias("_x")).select("_id", F.col("_x.c").alias("_chunk"), F.col("_x.cut").alias("_cut"))
+    # a boundary in common with the chunk before counts if that one is in step, that is, has a cut of its own; few numbers a chunk, no text
+    made = "array<struct<c:int,cut:int>>"
+
+    def step(done: Column, x: Column) -> Column:
+        common = F.array_min(F.array_intersect(x["_head"], done["tail"]))
+        led = F.try_element_at(done["cuts"], F.lit(-1))["cut"].isNotNull() & common.isNotNull()
+        cut = F.when(x["_chunk"] == 0, F.lit(0)).when(led, common).otherwise(x["_safe"])
+        return F.struct(F.concat(done["cuts"], F.array(F.struct(x["_chunk"].alias("c"), cut.alias("cut")))).alias("cuts"), x["_tail"].alias("tail"))
+
+    none = F.struct(F.array().cast(made).alias("cuts"), F.lit(None).cast("array<int>").alias("tail"))
+    in_order = F.array_sort(F.collect_list(F.struct("_chunk", "_head", "_tail", "_safe")))
+    cuts = reports.groupBy("_id").agg(F.aggregate(in_order, none, step, lambda done: done["cuts"]).alias("_cuts"))
+    cuts = cuts.select("_id", F.explode("_cuts").alias("_x")).select("_id", F.col("_x.c").alias("_chunk"), F.col("_x.cut").alias("_cut"))
     upto = Window.partitionBy("_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a chunk's own characters up to its cut belong to the piece before it
     cuts = cuts.withColumn("_piece", F.last(F.when(F.col("_cut").isNotNull(), F.col("_chunk")), ignorenulls=True).over(upto)).withColumn("_earlier", F.lag("_piece").over(Window.partitionBy("_id").orderBy("_chunk")))
