@@ -20,6 +20,8 @@ SAMPLE = 400
 FEATURES = 2_048
 #: Rounds of the projected gradient, at most; it ends when no source's share changes by more than this any more.
 ROUNDS, TOLERANCE = 60, 1e-5
+#: Buckets of the hash by which fractions of rates are dealt.
+BUCKETS = 1_024
 
 
 @dataclass
@@ -45,7 +47,8 @@ def mix_sources(
     the rounds; those with posteriors of their own are rows of a table that only executors read. A rate is
     worked out anew from the gaps of all rounds so far, so there is no state to lose.
 
-    copies is the rate, the fraction rounded up or down by a hash of the id, never above the repeats. A document
+    copies is the rate, rounded up for the documents whose hash of the id is below a cut, down for the others, and never above
+    the repeats. Each source's cut is where the documents below it have nearest to the fraction of its tokens. A document
     without a source may be used as often as the smallest repeats say; its domain is its likeliest source.
 
     report: source, target_share, max_repeats, own_docs, own_tokens (rows that name the source), all_tokens (of all
@@ -96,21 +99,24 @@ def mix_sources(
         rates = [min(float(w[2]), max(0.0, r + s)) for r, s, w in zip(rates, step, wanted, strict=True)]
         steps.append(step)
 
-    def copies(rate, most):
-        part = (F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-        return F.least(most, F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-
-    plan = F.broadcast(spark.createDataFrame([(w[0], r, w[2]) for w, r in zip(wanted, rates, strict=True)], "_source string, rate double, _most int"))
-    used = sized.where("_source IS NOT NULL").join(plan, "_source", "left")
-    out = used.select("_id", "_source", F.when(F.col("rate").isNotNull(), F.col("_source")).alias("domain"), "_t", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce("_most", F.lit(0)).alias("_most"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(BUCKETS)).cast("int")
+    # a fraction of a rate is the documents of the first hash buckets that hold nearest to that fraction of the tokens
+    held: dict[str, list[int]] = {s: [0] * BUCKETS for s in names}
+    for r in sized.where(F.col("_source").isin(names)).groupBy("_source", bucket.alias("b")).agg(F.sum("_t").alias("t")).collect():  # at most BUCKETS rows a target
+        held[r["_source"]][r["b"]] = r["t"]
+    plan = F.broadcast(spark.createDataFrame([(w[0], r, w[2], _cut(held[w[0]], r % 1)) for w, r in zip(wanted, rates, strict=True)], "_source string, rate double, _most int, _cut int"))
+    used = sized.where("_source IS NOT NULL").join(plan, "_source", "left").withColumn("_extra", bucket < F.col("_cut"))
+    out = used.select("_id", "_source", F.when(F.col("rate").isNotNull(), F.col("_source")).alias("domain"), "_t", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce("_most", F.lit(0)).alias("_most"), "_extra")
     unnamed = sized.where("_source IS NULL")
     if soft is not None:
         best = F.array_position("_p", F.array_max("_p")).cast("int")
         unnamed = unnamed.join(soft.select("_id", F.element_at(F.array(*[F.lit(n) for n in names]), best).alias("domain"), _rate(steps, lowest).alias("rate")), "_id", "left")
     else:
         unnamed = unnamed.withColumn("domain", F.lit(None).cast("string")).withColumn("rate", F.lit(0.0))
-    out = out.unionByName(unnamed.select("_id", "_source", "domain", "_t", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.lit(lowest).alias("_most")))
-    documents = materialise(out.select(F.col("_id").alias("id"), F.col("_source").alias("source"), "domain", F.col("_t").alias("n_tokens"), "rate", copies(F.col("rate"), F.col("_most")).alias("copies")))
+    rate = F.coalesce("rate", F.lit(0.0))
+    out = out.unionByName(unnamed.select("_id", "_source", "domain", "_t", rate.alias("rate"), F.lit(lowest).alias("_most"), ((bucket + 0.5) / BUCKETS < rate - F.floor(rate)).alias("_extra")))
+    copies = F.least("_most", F.floor("rate") + F.when(F.col("_extra"), 1).otherwise(0)).cast("int")
+    documents = materialise(out.select(F.col("_id").alias("id"), F.col("_source").alias("source"), "domain", F.col("_t").alias("n_tokens"), "rate", copies.alias("copies")))
 
     reached = documents.where("domain IS NOT NULL").groupBy("domain").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("reached_tokens"))
     rows = [(*w, *o, all_tokens, y, y > w[2] * o[1], r) for w, o, y, r in zip(wanted, owned, needed, rates, strict=True)]
@@ -119,6 +125,15 @@ def mix_sources(
     return Mix(documents, report.withColumn("reached_share", F.try_divide(F.col("reached_tokens").cast("double"), F.sum("reached_tokens").over(Window.partitionBy()))))
 
 
+def _cut(held: list[int], fraction: float) -> int:
+    """Number of leading buckets whose sum is nearest to the fraction of all."""
+    goal, best, upto = fraction * sum(held), (fraction * sum(held), 0), 0
+    for k, t in enumerate(held, 1):
+        upto += t
+        best = min(best, (abs(upto - goal), k))
+    return best[1]
+
+
 def _rate(steps: list[list[float]], most: int):
     """The rate of a row with memberships _p after all steps, each kept between 0 and most."""
     moves = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
