@@ -12,6 +12,7 @@ from millrace.operators import signals as S
 from millrace.operators.ranking import top_per_group
 from millrace.plans import Registry, table
 from millrace.plans.catalogue import ACCORDS, CLAIMS, FAMILY, PRODUCTS, SEASONS, _REC, accords, claims, membership, product_notes, products
+from millrace.runtime import materialise
 
 R = Registry()
 
@@ -31,12 +32,13 @@ dem AS (SELECT s.*, b.brand IS NOT NULL AS is_demeaned, CASE WHEN b.brand IS NOT
 
 
 def population(spark, folder) -> DataFrame:
-    return products(spark, folder).where("in_population")
+    """Written down: several passes read it, and the records shouldn't be parsed for each."""
+    return materialise(products(spark, folder).where("in_population").drop("n_pros", "n_cons"))
 
 
-def demand(spark, folder, fallback: bool = True) -> DataFrame:
+def demand(spark, folder, fallback: bool = True, inside: DataFrame | None = None) -> DataFrame:
     """Shrunken approval, desire, adoption, and the first two less the brand's mean."""
-    rows = S.shrunk(population(spark, folder), "rating_average", "people", "approval").withColumns({"desire": S.ratio("want", ["have", "had"]), "adoption": F.log1p("people")})
+    rows = S.shrunk(population(spark, folder) if inside is None else inside, "rating_average", "people", "approval").withColumns({"desire": S.ratio("want", ["have", "had"]), "adoption": F.log1p("people")})
     return S.demeaned(rows, "brand", ["approval", "desire"], LEAST_BRAND, fallback)
 
 
@@ -73,8 +75,8 @@ _FAMILY_SIGNALS = f"""{SIGNALS}, {FAMILY}, fd AS (SELECT cluster, sum(share) AS
   sum(desire_demeaned * share) / nullif(sum(CASE WHEN desire_demeaned IS NOT NULL THEN share END), 0) AS desire_demeaned FROM fam JOIN dem USING (product_id) GROUP BY 1)"""
 
 
-def family_demand(spark, folder) -> DataFrame:
-    rows = membership(spark, folder).join(demand(spark, folder), "product_id")
+def family_demand(spark, folder, member: DataFrame | None = None, inside: DataFrame | None = None) -> DataFrame:
+    rows = (membership(spark, folder) if member is None else member).join(demand(spark, folder, inside=inside), "product_id")
     return S.weighted_means(rows, ["cluster"], "share", ["approval_demeaned", "desire_demeaned"])
 
 
@@ -169,13 +171,13 @@ _PARTS = {"approval_demeaned": 1.0, "desire_demeaned": 1.0, "polarity": 1.0, "su
 
 def composite(spark, folder) -> DataFrame:
     """Families with their z-scores and score; the family of greatest supply is the backbone and isn't scored."""
-    member = membership(spark, folder)
-    held = products(spark, folder)
+    member, held = materialise(membership(spark, folder)), materialise(products(spark, folder))
     inside = member.join(held.where("in_population").select("product_id", "year"), "product_id")
     supply = S.shares(inside, ["cluster"], "share", "supply_share")
     moves = S.momentum(S.shares(inside, ["year", "cluster"], "share", "supply_share", within=["year"]), "cluster", "year", "supply_share", EARLY, LATE).select("cluster", "momentum")
     said = member.join(held.where("has_ai_summary"), "product_id").groupBy("cluster").agg(F.sum(F.col("n_pros") * F.col("share")).alias("p"), F.sum(F.col("n_cons") * F.col("share")).alias("n"))
-    rows = family_demand(spark, folder).join(moves, "cluster").join(supply, "cluster").join(said.select("cluster", S.polarity("p", "n").alias("polarity")), "cluster")
+    rows = family_demand(spark, folder, member, held.where("in_population")).join(moves, "cluster").join(supply, "cluster").join(said.select("cluster", S.polarity("p", "n").alias("polarity")), "cluster")
+    rows = materialise(rows)
     rows = rows.withColumn("backbone", F.row_number().over(Window.partitionBy().orderBy(F.desc("supply_share"), "cluster")) == 1)  # families, few
     scored = S.z_scores(rows.where("NOT backbone"), list(_PARTS))
     score = sum((F.col(f"z_{c}") * w for c, w in _PARTS.items()), F.lit(0.0))

@@ -9,7 +9,8 @@ from millrace.operators import association as A
 from millrace.operators import ranking as K
 from millrace.operators import vectors as V
 from millrace.plans import Registry, table
-from millrace.plans.catalogue import ACCORDS, NOTES, _REC, _tier_weighted, accords, product_notes, products, PRODUCTS
+from millrace.plans.catalogue import ACCORDS, NOTES, PRODUCTS, _REC, _tier_weighted, accords, product_notes, products
+from millrace.runtime import materialise
 
 R = Registry()
 
@@ -107,13 +108,14 @@ def _numbered(df: DataFrame, column: str) -> DataFrame:
 
 
 def note_vectors(spark, folder) -> DataFrame:
-    weights = A.tf_idf(product_notes(spark, folder), "product_id", "note")
-    return V.dense(weights, "product_id", "note", "weight", _numbered(product_notes(spark, folder), "note"))
+    notes = materialise(product_notes(spark, folder))
+    return V.sparse(A.tf_idf(notes, "product_id", "note"), "product_id", "note", "weight", _numbered(notes, "note"))
 
 
 def accord_vectors(spark, folder) -> DataFrame:
     rows = accords(spark, folder).where("strength IS NOT NULL").groupBy("product_id", "accord").agg(F.max("strength").cast("double").alias("weight"))
-    return V.dense(rows, "product_id", "accord", "weight", _numbered(rows, "accord")).withColumn("vector", V.unit(F.col("vector")))
+    rows = materialise(rows)
+    return V.sparse(rows, "product_id", "accord", "weight", _numbered(rows, "accord"))
 
 
 def _queries(df: DataFrame) -> DataFrame:
@@ -122,13 +124,13 @@ def _queries(df: DataFrame) -> DataFrame:
 
 
 def _knn(df: DataFrame, k: int = 10) -> DataFrame:
-    return V.top_k(_queries(df), df, "product_id", "vector", k)
+    return V.top_k(_queries(df), df, "product_id", k)
 
 
 @R.query("tfidf_topk", f"WITH {_PLAIN}, {_KNN} SELECT query, rank, neighbour, similarity FROM kn WHERE rank <= 10")
 def tfidf_topk(spark, folder):
     """Ten products of nearest notes, for every query against all."""
-    return _knn(note_vectors(spark, folder))
+    return _knn(materialise(note_vectors(spark, folder)))
 
 
 _ACC_TF = f"{ACCORDS}, aw AS (SELECT product_id, accord AS note, max(strength)::DOUBLE AS x FROM acc WHERE strength IS NOT NULL GROUP BY 1, 2), tf AS (SELECT product_id, note, x / sqrt(sum(x * x) OVER (PARTITION BY product_id)) AS weight FROM aw)"
@@ -137,7 +139,7 @@ _ACC_TF = f"{ACCORDS}, aw AS (SELECT product_id, accord AS note, max(strength)::
 @R.query("accord_topk", f"{_REC}, {_ACC_TF}, {_KNN} SELECT query, rank, neighbour, similarity FROM kn WHERE rank <= 10")
 def accord_topk(spark, folder):
     """Ten products of nearest accords."""
-    return _knn(accord_vectors(spark, folder))
+    return _knn(materialise(accord_vectors(spark, folder)))
 
 
 @R.query(
@@ -147,7 +149,7 @@ tf AS (SELECT product_id, 'n' || note AS note, weight * sqrt(0.5::DOUBLE) AS wei
 )
 def hybrid_topk(spark, folder):
     """Half notes, half accords, in one product."""
-    return _knn(V.blend(note_vectors(spark, folder), accord_vectors(spark, folder), "product_id", 0.5))
+    return _knn(materialise(V.blend(note_vectors(spark, folder), accord_vectors(spark, folder), "product_id", 0.5)))
 
 
 @R.query(
@@ -156,8 +158,8 @@ def hybrid_topk(spark, folder):
 )
 def vector_topk(spark, folder):
     """Ten nearest embeddings, for every query against all."""
-    rows = table(spark, folder, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("vector"))
-    return V.top_k(rows.where("vec_id % 50 = 0"), rows, "vec_id", "vector", 10)
+    rows = V.from_dense(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return V.top_k(rows.where("vec_id % 50 = 0"), rows, "vec_id", 10)
 
 
 @R.query(
@@ -327,7 +329,7 @@ def grid_search(spark, folder):
     def lists(alpha: float, split: str) -> DataFrame:
         both = V.blend(notes, acc, "product_id", alpha)
         asked = both.join(true.where(F.col("split") == split).select("product_id").distinct(), "product_id", "left_semi")
-        return V.top_k(asked, both, "product_id", "vector", 10).select(F.col("query").alias("product_id"), F.col("neighbour").alias("related_id"), "rank", F.lit(alpha).alias("alpha"))
+        return V.top_k(asked, both, "product_id", 10).select(F.col("query").alias("product_id"), F.col("neighbour").alias("related_id"), "rank", F.lit(alpha).alias("alpha"))
 
     tried = None
     for alpha in (0.2, 0.4, 0.6, 0.8):

@@ -98,8 +98,9 @@ def test_top_k_is_exact(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(120, 6))
     x[7] = 0
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").withColumn("v", vectors.unit(F.col("v")))
-    got = vectors.top_k(df.where("id % 10 = 0"), df, "id", "v", 5, block=32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    df = vectors.from_dense(df, "id", "v")
+    got = vectors.top_k(df.where("id % 10 = 0"), df, "id", 5, block=32)
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     want = []
     for q in range(0, 120, 10):
