@@ -59,8 +59,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = N
     """Token ids of each text, without special tokens: columns id_col, ids (array of int).
 
     A null text and an empty text have an empty list. Strings of special tokens are ordinary text. One row
-    for each row of df, so the id should be unique; repeated ids whose texts are longer than a chunk
-    would be mixed, and rows with a null id must not have such texts. Such rows are encoded whole.
+    for each row of df, also where rows or ids are repeated. Texts of rows with a null id are encoded whole.
 
     Overlapping chunk encoding: a text of more than chunk_chars characters is cut in chunks that
     reach overlap_chars into the next one. The chunks are pre-tokenised in parallel. Where a chunk and the next
@@ -76,10 +75,10 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = N
     alone = src.where(F.col("_text").isNull() | F.col("_id").isNull() | (size <= chunk_chars))
     kind = src.schema["_id"].dataType.simpleString()
     out = alone.mapInArrow(_encode_rows(path), f"_id {kind}, ids array<int>")
-    long = src.where(F.col("_id").isNotNull() & (size > chunk_chars))
-    pieces = _pieces(long, kind, chunk_chars, overlap_chars)
-    parts = pieces.mapInArrow(_encode_rows(path), f"_id {kind}, _piece int, ids array<int>")
-    whole = parts.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_piece", "ids"))).alias("_parts")).select("_id", F.flatten("_parts.ids").alias("ids"))
+    pieces = _pieces(src.where(F.col("_id").isNotNull() & (size > chunk_chars)), kind, chunk_chars, overlap_chars)
+    parts = pieces.mapInArrow(_encode_rows(path), f"_id {_keyed(kind)}, _piece int, _copies int, ids array<int>")
+    whole = parts.groupBy("_id").agg(F.max("_copies").alias("_copies"), F.array_sort(F.collect_list(F.struct("_piece", "ids"))).alias("_parts"))
+    whole = whole.select(F.col("_id.i").alias("_id"), F.flatten("_parts.ids").alias("ids"), F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).drop("col")
     return out.unionByName(whole).withColumnRenamed("_id", id_col)
 
 
@@ -91,11 +90,17 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
     kind = src.schema["_id"].dataType.simpleString()
     long = F.col("_id").isNotNull() & (F.coalesce(F.length("_text"), F.lit(0)) > CHUNK_CHARS)
     out = src.where(~long).mapInArrow(_encode_rows(path, count=True), f"_id {kind}, n_tokens int")
-    parts = _pieces(src.where(long), kind, CHUNK_CHARS, OVERLAP_CHARS).mapInArrow(_encode_rows(path, count=True), f"_id {kind}, _piece int, n_tokens int")
-    whole = parts.groupBy("_id").agg(F.sum("n_tokens").cast("int").alias("n_tokens"))
+    parts = _pieces(src.where(long), kind, CHUNK_CHARS, OVERLAP_CHARS).mapInArrow(_encode_rows(path, count=True), f"_id {_keyed(kind)}, _piece int, _copies int, n_tokens int")
+    whole = parts.groupBy("_id").agg(F.max("_copies").alias("_copies"), F.sum("n_tokens").cast("int").alias("n_tokens"))
+    whole = whole.select(F.col("_id.i").alias("_id"), "n_tokens", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).drop("col")
     return out.unionByName(whole).withColumnRenamed("_id", id_col)
 
 
+def _keyed(kind: str) -> str:
+    """An id with the hash of its text: texts of one id don't mix."""
+    return f"struct<i:{kind},h:bigint>"
+
+
 def _encode_rows(path: str, count: bool = False):
     """Batches with the column _text to batches with its ids, or their number, in its place at the end."""
 
@@ -168,9 +173,11 @@ def _report(size: int, overlap: int):
 
 
 def _pieces(long: DataFrame, kind: str, size: int, overlap: int) -> DataFrame:
-    """Pieces of long texts that are encoded on their own: _id, _piece, _text."""
+    """Pieces of long texts that are encoded on their own: _id, _piece, _copies, _text. Equal rows are one, and _copies says how many."""
     if overlap >= size:
         raise ValueError("the overlap must be smaller than a chunk")
+    kind = _keyed(kind)
+    long = long.select(F.struct(F.col("_id").alias("i"), F.xxhash64("_text").alias("h")).alias("_id"), "_text")
     chunks = long.mapInArrow(_cut(size, overlap), f"_id {kind}, _chunk int, _text string").repartition("_id", "_chunk")
     reports = chunks.mapInArrow(_report(size, overlap), f"_id {kind}, _chunk int, _head array<int>, _tail array<int>, _safe int")
     # a boundary in common with the chunk before counts if that one is in step, that is, has a cut of its own; few numbers a chunk, no text
@@ -183,15 +190,17 @@ def _pieces(long: DataFrame, kind: str, size: int, overlap: int) -> DataFrame:
         return F.struct(F.concat(done["cuts"], F.array(F.struct(x["_chunk"].alias("c"), cut.alias("cut")))).alias("cuts"), x["_tail"].alias("tail"))
 
     none = F.struct(F.array().cast(made).alias("cuts"), F.lit(None).cast("array<int>").alias("tail"))
-    in_order = F.array_sort(F.collect_list(F.struct("_chunk", "_head", "_tail", "_safe")))
-    cuts = reports.groupBy("_id").agg(F.aggregate(in_order, none, step, lambda done: done["cuts"]).alias("_cuts"))
-    cuts = cuts.select("_id", F.explode("_cuts").alias("_x")).select("_id", F.col("_x.c").alias("_chunk"), F.col("_x.cut").alias("_cut"))
+    listed = reports.groupBy("_id").agg(F.collect_list(F.struct("_chunk", "_head", "_tail", "_safe")).alias("_l"))
+    copies = F.size(F.filter("_l", lambda x: x["_chunk"] == 0)).alias("_copies")
+    cuts = listed.select("_id", copies, F.aggregate(F.array_sort(F.array_distinct("_l")), none, step, lambda done: done["cuts"]).alias("_cuts"))
+    cuts = cuts.select("_id", "_copies", F.explode("_cuts").alias("_x")).select("_id", "_copies", F.col("_x.c").alias("_chunk"), F.col("_x.cut").alias("_cut"))
     upto = Window.partitionBy("_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a chunk's own characters up to its cut belong to the piece before it
     cuts = cuts.withColumn("_piece", F.last(F.when(F.col("_cut").isNotNull(), F.col("_chunk")), ignorenulls=True).over(upto)).withColumn("_earlier", F.lag("_piece").over(Window.partitionBy("_id").orderBy("_chunk")))
     own = F.substring("_text", 1, size)
     parts = chunks.join(cuts, ["_id", "_chunk"]).select(
         "_id",
+        "_copies",
         "_chunk",
         F.explode(
             F.array(
@@ -200,5 +209,6 @@ def _pieces(long: DataFrame, kind: str, size: int, overlap: int) -> DataFrame:
             )
         ).alias("_s"),
     )
-    parts = parts.where("_s.p IS NOT NULL AND _s.t IS NOT NULL").select("_id", F.col("_s.p").alias("_piece"), "_chunk", F.col("_s.t").alias("_t"))
-    return parts.groupBy("_id", "_piece").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_t"))).alias("_l")).select("_id", "_piece", F.array_join("_l._t", "").alias("_text"))
+    parts = parts.where("_s.p IS NOT NULL AND _s.t IS NOT NULL").select("_id", "_copies", F.col("_s.p").alias("_piece"), "_chunk", F.col("_s.t").alias("_t"))
+    held = parts.groupBy("_id", "_piece", "_copies").agg(F.array_sort(F.collect_set(F.struct("_chunk", "_t"))).alias("_l"))
+    return held.select("_id", "_piece", "_copies", F.array_join("_l._t", "").alias("_text"))

@@ -41,6 +41,16 @@ def test_encode_null_ids_and_empty(spark):
         T.encode(df, "doc_id", "text", chunk_chars=10, overlap_chars=10)
 
 
+def test_repeated_rows(spark):
+    a, b = "x y z " * 3000, "q r " * 4000
+    df = spark.createDataFrame([(1, a), (1, a), (1, b), (2, a), (3, "s"), (3, "s")], "doc_id long, text string")
+    want = sorted((i, len(ENC.encode_ordinary(t))) for i, t in ((1, a), (1, a), (1, b), (2, a), (3, "s"), (3, "s")))
+    got = T.encode(df, "doc_id", "text").collect()
+    assert sorted((r.doc_id, len(r.ids)) for r in got) == want
+    assert {T.decode(list(r.ids)) for r in got if r.doc_id == 1} == {a, b}
+    assert sorted((r.doc_id, r.n_tokens) for r in T.count_tokens(df, "doc_id", "text").collect()) == want
+
+
 def test_counts(spark):
     df = documents(spark)
     ids = {r.doc_id: len(r.ids) for r in T.encode(df, "doc_id", "text").collect()}
