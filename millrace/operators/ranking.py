@@ -26,12 +26,16 @@ def average_rank(value: str, by: Sequence[str] = ()) -> Column:
 
 
 def nearest_rank(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Of the sorted values, number floor(n * share) counted from 0, by group: one row a share."""
-    w = Window.partitionBy(*by).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rows = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", n)
+    """Of the sorted values, number floor(n * share) counted from 0, by group: one row a share. Nulls don't count.
+
+    Equal values are counted first, so what is sorted is the different values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by)
+    rows = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
     rows = rows.withColumn("_at", F.explode(F.array(*[F.lit(s) for s in shares])))
-    return rows.where(F.col("_k") == F.floor(F.col("_n") * F.col("_at"))).select(*by, F.col("_at").alias("share"), value)
+    at = F.floor(F.col("_n") * F.col("_at"))
+    return rows.where((at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_c"))).select(*by, F.col("_at").alias("share"), value)
 
 
 def ranking_metrics(lists: DataFrame, truth: DataFrame, query: str, item: str, rank: str, ks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
@@ -70,18 +74,21 @@ def same_group_lists(queries: DataFrame, items: DataFrame, query: str, item: str
     return top_per_group(rows, [query], [F.asc("_r")], k).select(query, F.col("_item").alias(item), "rank")
 
 
-def hashed_lists(queries: DataFrame, items: DataFrame, query: str, item: str, k: int, seed: str, draws: int = 4) -> DataFrame:
-    """k pseudo-random other items for each query, without pairing all queries with all items.
+def hashed_lists(queries: DataFrame, items: DataFrame, query: str, item: str, k: int, seed: str, draws: int = 4, bucket: int = 8) -> DataFrame:
+    """k pseudo-random other items for each query, without pairing all queries with all items or sorting them.
 
-    Items stand on a ring by the md5 of seed and id; a query starts at draws * k places given by md5 and takes the item at or
-    after each. Places come from numbering the items by hash.
+    Items lie in buckets of about `bucket` by the md5 of seed and id. Of draws * k draws each names a bucket and a place in it by an
+    md5 of seed, query and number; the first k different items count. Few items give shorter lists.
     """
-    n = items.select(item).distinct().agg(F.count(F.lit(1)).alias("_count"))
-    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(item).cast("string"))), F.col(item))) - 1
-    ring = items.select(item).distinct().select(F.col(item).alias("_item"), place.cast("bigint").alias("_place"))
-    spots = queries.select(query).distinct().crossJoin(F.broadcast(n)).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws * k - 1))))  # one row
-    number = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.lit("|"), F.col(query).cast("string"), F.lit("|"), F.col("_d").cast("string"))), 1, 12), 16, 10).cast("bigint")
-    drawn = spots.withColumn("_place", number % F.col("_count")).join(ring, "_place").where(F.col(query) != F.col("_item"))
+    number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("bigint")
+    held = items.select(item).distinct()
+    count = held.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / bucket)).alias("_buckets"))
+    lain = held.crossJoin(F.broadcast(count)).select(F.col(item).alias("_item"), (number(F.col(item)) % F.col("_buckets")).alias("_b"))  # one row
+    size = lain.groupBy("_b").agg(F.count(F.lit(1)).alias("_size"))
+    placed = lain.withColumn("_place", F.row_number().over(Window.partitionBy("_b").orderBy("_item")) - 1)
+    spots = queries.select(query).distinct().crossJoin(F.broadcast(count)).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws * k - 1))))  # one row
+    spots = spots.withColumn("_u", number(F.col(query), F.col("_d"))).withColumn("_b", F.col("_u") % F.col("_buckets"))
+    drawn = spots.join(size, "_b").withColumn("_place", F.floor(F.col("_u") / F.col("_buckets")) % F.col("_size")).join(placed, ["_b", "_place"]).where(F.col(query) != F.col("_item"))
     first = drawn.groupBy(query, "_item").agg(F.min("_d").alias("_d"))
     return top_per_group(first, [query], [F.asc("_d")], k).select(query, F.col("_item").alias(item), "rank")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.runtime import forget, materialise, materialised, ship
+from millrace.runtime import forget, materialise, materialised, salted_join, ship
 
 
 @F.pandas_udf(T.DoubleType())
@@ -78,9 +78,10 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """
     e = edges.select(F.col(left).alias("_a"), F.col(right).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
     e = materialise(e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct())
+    n = e.count()
     labels = materialise(e.groupBy("_a").agg(F.min("_b").alias("_m")).select(F.col("_a").alias("node"), F.least("_a", "_m").alias("component")))
     while True:
-        near = e.join(labels.select(F.col("node").alias("_b"), F.col("component").alias("_c")), "_b").groupBy("_a").agg(F.min("_c").alias("_c"))
+        near = salted_join(e, labels.select(F.col("node").alias("_b"), F.col("component").alias("_c")), "_b", rows=n).groupBy("_a").agg(F.min("_c").alias("_c"))
         step = labels.join(near, labels.node == near["_a"]).select("node", F.least("component", "_c").alias("_l"), F.col("component").alias("_old"))
         jump = step.join(labels.select(F.col("node").alias("_l"), F.col("component").alias("_j")), "_l", "left")
         to = F.least("_l", F.coalesce("_j", "_l"))

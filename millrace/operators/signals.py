@@ -65,9 +65,21 @@ def momentum(yearly: DataFrame, key: str, year: str, share: str, early: tuple[in
 
 
 def z_scores(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """z_value: population z-score over all rows, or by group; null where all are equal."""
-    w = Window.partitionBy(*by)
-    return df.withColumns({f"z_{v}": F.try_divide(F.col(v) - F.avg(v).over(w), F.stddev_pop(v).over(w)) for v in values})
+    """z_value: population z-score over all rows, or by group; null where all are equal. Null groups are groups.
+
+    Means are aggregated and joined back, so that neither a large group nor the whole table is gathered in a window.
+    """
+    stats = df.groupBy(*by).agg(*[f(v).alias(f"_{n}_{v}") for v in values for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    if by:
+        stats = stats.select(*[F.col(b).alias(f"_by_{b}") for b in by], *[c for c in stats.columns if c not in by])
+        same = F.lit(True)
+        for b in by:
+            same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+        out = df.join(stats, same)
+    else:
+        out = df.crossJoin(F.broadcast(stats))  # one row
+    out = out.withColumns({f"z_{v}": F.try_divide(F.col(v) - F.col(f"_m_{v}"), F.col(f"_s_{v}")) for v in values})
+    return out.drop(*[f"_{n}_{v}" for v in values for n in "ms"], *[f"_by_{b}" for b in by])
 
 
 def lift(pairs: DataFrame, left: str, right: str, weight: str | None = None, records: str = "product_id", least: int = 0) -> DataFrame:
