@@ -91,7 +91,7 @@ def _roots(edges: DataFrame, n: int) -> DataFrame:
 
 
 def assign_splits(
-    groups: DataFrame, group: str, label: str | None, proportions: Mapping[str, float], large_share: float = LARGE_SHARE, pools: int = POOLS, seed: int = 42
+    groups: DataFrame, group: str, label: str | None, proportions: Mapping[str, float], large_share: float = LARGE_SHARE, pools: int = POOLS, seed: int = 42, main: str | None = None
 ) -> DataFrame:
     """A split for every group: columns group, split. groups has one row for each record.
 
@@ -102,6 +102,7 @@ def assign_splits(
     are placed from the largest down, each in the split that leaves the smallest sum of
     squared deviations.
 
+    main names a label whose proportions count ten times as much as those of the others and stand for the number of records.
     Null labels are a label of their own; rows with a null group don't count. labels should be few (a bounded
     column such as a class). Empty in, empty out.
     """
@@ -116,14 +117,14 @@ def assign_splits(
     pool = F.pmod(F.xxhash64(F.lit(seed), "_g"), F.lit(pools))
     units = counts.join(F.broadcast(heavy), "_g", "left").withColumn("_unit", F.when(F.col("_heavy"), F.concat(F.lit("g"), F.col("_g").cast("string"))).otherwise(F.concat(F.lit("p"), pool.cast("string"))))
     by_unit = units.groupBy("_unit", "_label").agg(F.sum("_n").alias("_n")).collect()  # at most (1 / large_share + pools) * labels rows
-    placed = _place([(r["_unit"], r["_label"], r["_n"]) for r in by_unit], proportions)
+    placed = _place([(r["_unit"], r["_label"], r["_n"]) for r in by_unit], proportions, main)
     spark = groups.sparkSession
     schema = T.StructType([T.StructField("_unit", T.StringType()), T.StructField("split", T.StringType())])
     where = F.broadcast(spark.createDataFrame(list(placed.items()), schema))
     return units.select("_g", "_unit").distinct().join(where, "_unit").select(F.col("_g").alias("group"), "split")
 
 
-def _place(counts: Sequence[tuple[str, str | None, int]], proportions: Mapping[str, float]) -> dict[str, str]:
+def _place(counts: Sequence[tuple[str, str | None, int]], proportions: Mapping[str, float], main: str | None = None) -> dict[str, str]:
     units: dict[str, dict] = {}
     labels: dict = {}
     for unit, label, n in counts:
@@ -135,7 +136,9 @@ def _place(counts: Sequence[tuple[str, str | None, int]], proportions: Mapping[s
 
         def cost(split: str, own: dict = own) -> float:
             # how much the squared deviations, each relative to its label's size, and that of the whole size grow
-            gain = sum((n * n - 2 * n * left[split][x]) / max(1, labels[x]) for x, n in own.items())
+            gain = sum((10 if x == main else 1) * (n * n - 2 * n * left[split][x]) / max(1, labels[x]) ** (1 if main is None else 2) for x, n in own.items())
+            if main is not None:
+                return gain
             size, room = sum(own.values()), sum(left[split].values())
             return gain + (size * size - 2 * size * room) / max(1, sum(labels.values()))
 
@@ -149,14 +152,17 @@ def _place(counts: Sequence[tuple[str, str | None, int]], proportions: Mapping[s
 def related_splits(records: DataFrame, left: str, right: str, label: str | None, proportions: Mapping[str, float], seed: int = 42) -> DataFrame:
     """The records of a table of ties with a split: no tie, direct or through others, runs between two splits.
 
-    Columns: entity, group, split, one row for each id named on either side. Labels are those of
-    the ties; a tie counts in the group of its left id, or its right where that is null.
+    Columns: entity, group, split, one row for each id named on either side. The proportions hold for the entities, and for the
+    ties of each label; a tie counts in the group of its left id, or its right where that is null.
     """
     groups = materialise(pair_groups(records, left, right))
     src = require(records, [left, right] + [label] * bool(label)).toDF("_l", "_r", *["_label"] * bool(label))
     src = src.withColumn("_e", F.coalesce("_l", "_r")).where("_e IS NOT NULL")
     tied = salted_join(src, groups.select(F.col("entity").alias("_e"), F.col("group").alias("_g")), "_e")
-    splits = materialise(assign_splits(tied, "_g", "_label" if label else None, proportions, seed=seed))
+    # entities are balanced as one more label beside those of the ties
+    kind = F.concat(F.lit("tie "), F.coalesce(F.col("_label").cast("string"), F.lit(""))) if label else F.lit("tie")
+    counted = tied.select("_g", kind.alias("_label")).unionByName(groups.select(F.col("group").alias("_g"), F.lit("entity").alias("_label")))
+    splits = materialise(assign_splits(counted, "_g", "_label", proportions, seed=seed, main="entity"))
     # a group without a tie's left id can't be: every id named is left, or right beside a left of its group
     return groups.join(small(splits), "group").select("entity", "group", "split")
 

@@ -134,6 +134,9 @@ def test_splits(spark):
     assert set(got) == set(union_find(pairs))
     for a, b in pairs:
         assert got[a].split == got[b].split and got[a].group == got[b].group
+    uneven = spark.createDataFrame([(i, i + 1, "k") for i in range(500)] + [(1000 + 2 * i, 1001 + 2 * i, "k") for i in range(2000)], "a long, b long, kind string")
+    sizes = {x["split"]: x["count"] for x in related_splits(uneven, "a", "b", "kind", shares).groupBy("split").count().collect()}
+    assert all(abs(sizes[s] - p * 4501) < 60 for s, p in shares.items())
     singles = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20_000)], "g long, l string")
     split = assign_splits(singles, "g", "l", shares)
     counts = {(x["split"], x["l"]): x["count"] for x in singles.join(split, singles.g == split.group).groupBy("split", "l").count().collect()}
