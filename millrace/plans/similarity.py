@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import association as A
+from millrace.operators import cluster as C
 from millrace.operators import ranking as K
 from millrace.operators import vectors as V
 from millrace.plans import Registry, table
 from millrace.plans.catalogue import ACCORDS, NOTES, PRODUCTS, _REC, _tier_weighted, accords, product_notes, products
-from millrace.runtime import materialise
+from millrace.runtime import forget, materialise, ship
 
 R = Registry()
 
@@ -319,24 +322,101 @@ def split_overlap(spark, folder):
     return pick("train").intersect(pick("test")).agg(F.count(F.lit(1)).alias("n_shared"))
 
 
+#: The surveyed grids, and the configuration of each that is used untuned.
+TIER_WEIGHTS = {"none": {}, "top_heavy": {"top": 1.5, "middle": 1.0, "base": 0.7, "flat": 1.0}}
+TFIDF_GRID = tuple((sub, least, idf, tiers) for sub in (False, True) for least in (1, 5, 20) for idf in (False, True) for tiers in TIER_WEIGHTS)
+SVD_GRID = tuple((size, shift) for size in (10, 25, 50, 100, 200) for shift in (0, 1, 2))
+ALPHAS = tuple(i / 10 for i in range(1, 10))
+UNTUNED = {"note_tfidf": TFIDF_GRID.index((False, 1, True, "none")), "note_svd": SVD_GRID.index((50, 0)), "hybrid": ALPHAS.index(0.5)}
+
+
+def _tfidf_grid(spark, folder, picked) -> DataFrame:
+    """config, product_id, idx, val for the picked numbers of TFIDF_GRID. Products whose notes are all too rare have empty vectors, so that every configuration is asked the same queries."""
+    rows = product_notes(spark, folder, ("tier",))
+    heavy = F.create_map(*[F.lit(x) for kv in TIER_WEIGHTS["top_heavy"].items() for x in kv])
+    rows = materialise(rows.groupBy("product_id", "note").agg(F.max(F.coalesce(F.try_element_at(heavy, F.col("tier")), F.lit(1.0))).alias("heavy")))
+    seen = rows.groupBy("note").agg(F.count(F.lit(1)).alias("df")).join(_numbered(rows, "note"), "note")
+    n = rows.select("product_id").distinct().count()
+    held = rows.join(F.broadcast(seen), "note").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("idx", "heavy", "df"))).alias("_l"))  # of the bounded vocabulary
+    grid = [F.struct(F.lit(i).alias("config"), *[F.lit(v).alias(c) for c, v in zip(("sub", "least", "idf", "tiers"), TFIDF_GRID[i], strict=True)]) for i in picked]
+    tried = held.withColumn("c", F.explode(F.array(*grid)))
+    tried = tried.withColumn("_l", F.filter("_l", lambda x: x["df"] >= F.col("c.least")))
+
+    def weight(x):
+        tf = F.when(F.col("c.tiers") == "top_heavy", x["heavy"]).otherwise(1.0)
+        return F.when(F.col("c.sub"), 1 + F.log(tf)).otherwise(tf) * F.when(F.col("c.idf"), F.log((1.0 + n) / (1.0 + x["df"])) + 1).otherwise(1.0)
+
+    return tried.select("c.config", "product_id", F.col("_l.idx").alias("idx"), V.unit(F.transform("_l", weight)).alias("val"))
+
+
+def _svd_grid(spark, folder, picked) -> DataFrame:
+    """config, product_id, idx, val for the picked numbers of SVD_GRID: means of the notes' vectors."""
+    ship(spark)
+    notes = materialise(product_notes(spark, folder))
+    names = [r["note"] for r in notes.select("note").distinct().orderBy("note").limit(C.LIMIT + 1).collect()]
+    found, grid = materialise(A.cooccurrence(notes, "product_id", "note")), {i: SVD_GRID[i] for i in picked}
+    # U S of fewer dimensions is the beginning of that of more
+    full = {shift: C.svd_embedding(C.square(A.ppmi(found, shift=shift), "a", "b", "ppmi", names), max(size for size, _ in SVD_GRID)) for shift in {s for _, s in grid.values()}}
+    at = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "note string, idx int")
+    held = notes.join(F.broadcast(at), "note").groupBy("product_id").agg(F.collect_list("idx").alias("_l"))
+    kind = held.schema["product_id"].dataType.simpleString()
+
+    def means(batches):
+        for batch in batches:
+            for config, (size, shift) in grid.items():
+                x = np.array([full[shift][np.sort(l), :size].mean(0) for l in batch["_l"]]).reshape(len(batch), -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                yield pd.DataFrame({"config": config, "product_id": batch["product_id"], "idx": [range(x.shape[1])] * len(x), "val": list(x)})
+
+    return held.mapInPandas(means, f"config int, product_id {kind}, idx array<int>, val array<double>")
+
+
+def _hybrid_grid(spark, folder, picked) -> DataFrame:
+    """config, product_id, idx, val for the picked numbers of ALPHAS."""
+    notes, acc = materialise(note_vectors(spark, folder)), materialise(accord_vectors(spark, folder))
+    out = None
+    for i in picked:
+        one = V.blend(notes, acc, "product_id", ALPHAS[i]).select(F.lit(i).alias("config"), "product_id", "idx", "val")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _named(representation: str, config: int) -> str:
+    if representation == "note_tfidf":
+        return "sublinear={}, min_df={}, idf={}, tiers={}".format(*TFIDF_GRID[config])
+    return "components={}, shift={}".format(*SVD_GRID[config]) if representation == "note_svd" else f"alpha={ALPHAS[config]}"
+
+
 @R.query("grid_search")
 def grid_search(spark, folder):
-    """Weights of notes in the blend tried on the validation queries; the best one alone is measured on the test queries."""
-    true = truth(spark, folder).join(split_md5(spark, folder), "product_id")
-    notes, acc = note_vectors(spark, folder).persist(), accord_vectors(spark, folder).persist()
-    from pyspark.sql import Window
-
-    def lists(alpha: float, split: str) -> DataFrame:
-        both = V.blend(notes, acc, "product_id", alpha)
-        asked = both.join(true.where(F.col("split") == split).select("product_id").distinct(), "product_id", "left_semi")
-        return V.top_k(asked, both, "product_id", 10).select(F.col("query").alias("product_id"), F.col("neighbour").alias("related_id"), "rank", F.lit(alpha).alias("alpha"))
-
-    tried = None
-    for alpha in (0.2, 0.4, 0.6, 0.8):
-        one = lists(alpha, "validation")
-        tried = one if tried is None else tried.unionByName(one)
-    scored = K.ranking_metrics(tried, true, "product_id", "related_id", "rank", (5, 10), by=["alpha"])
-    return _rounded(scored.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("precision_10"), "alpha"))))  # configurations, few
+    """Every configuration of three representations on the validation queries; of each representation the best one and the untuned one on the test queries.
+
+    place is the configuration's among those of its representation by precision at 10 on validation, equal ones in the order of the grid; gain is its precision
+    at 10 less that of the untuned one on the same queries.
+    """
+    true = materialise(truth(spark, folder).join(split_md5(spark, folder), "product_id"))
+
+    def measured(build, picked, split: str) -> list:
+        rows = materialise(build(spark, folder, picked))
+        asked = rows.join(true.where(F.col("split") == split).select("product_id").distinct(), "product_id", "left_semi")
+        lists = V.top_k(asked, rows, "product_id", 10, by="config").select("config", F.col("query").alias("product_id"), F.col("neighbour").alias("related_id"), "rank")
+        out = _rounded(K.ranking_metrics(materialise(lists), true, "product_id", "related_id", "rank", (5, 10), by=["config"])).collect()  # configurations, few
+        forget(rows)
+        return out
+
+    columns, out = None, []
+    for name, build, size in (("note_tfidf", _tfidf_grid, len(TFIDF_GRID)), ("note_svd", _svd_grid, len(SVD_GRID)), ("hybrid", _hybrid_grid, len(ALPHAS))):
+        tried = sorted(measured(build, range(size), "validation"), key=lambda r: (-r["precision_10"], r["config"]))
+        place = {r["config"]: i for i, r in enumerate(tried, 1)}
+        tested = measured(build, sorted({tried[0]["config"], UNTUNED[name]}), "test") if tried else []
+        for split, rows in (("validation", tried), ("test", tested)):
+            untuned = next((r["precision_10"] for r in rows if r["config"] == UNTUNED[name]), None)
+            for r in rows:
+                columns = [c for c in r.asDict() if c != "config"]
+                gain = None if untuned is None else round(r["precision_10"] - untuned, 6)
+                out.append((name, _named(name, r["config"]), split, place[r["config"]], r["config"] == UNTUNED[name], gain, *[r[c] for c in columns]))
+    columns = columns or ["n_evaluated", *[f"{m}_{k}" for k in (5, 10) for m in ("precision", "recall", "mrr", "hit")]]
+    return spark.createDataFrame(out, "representation string, config string, split string, place int, untuned boolean, gain double, " + ", ".join(f"{c} {'bigint' if c == 'n_evaluated' else 'double'}" for c in columns))
 
 
 @R.query("best_per_metric")

@@ -112,6 +112,18 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert [r[0] and round(r[0], 6) for r in pair.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, None]
 
 
+def test_top_k_by_variant(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(c, i, v.tolist()) for c in (0, 1) for i, v in enumerate(rng.normal(size=(70, 4)))], "c int, id long, v array<double>")
+    df = df.select("c", "id", F.transform("v", lambda x, i: i).alias("idx"), vectors.unit(F.col("v")).alias("val"))
+    got = rows(vectors.top_k(df.where("id % 10 = 0"), df, "id", 5, block=32, by="c"))
+    want = []
+    for c in (0, 1):
+        one = df.where(F.col("c") == c)
+        want += [(c, *r) for r in rows(vectors.top_k(one.where("id % 10 = 0"), one, "id", 5))]
+    assert got == sorted(want, key=repr)
+
+
 def test_components_and_pick(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y"), (None, "x")], "a string, b string")
     got = dict(rows(resolve.components(edges, "a", "b")))
