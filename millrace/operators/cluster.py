@@ -5,15 +5,19 @@ The first part works on tables of any size. The second is for matrices of a voca
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans
+import pandas as pd
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.runtime import ship
+
 #: Rows of a matrix that may go to the driver.
 LIMIT = 5_000
 
@@ -33,16 +37,89 @@ def kmeans_costs(df: DataFrame, vector: str, ks: Sequence[int], seeds: Sequence[
     return [(k, min(KMeans(k=k, seed=s, featuresCol="_v").fit(rows).summary.trainingCost for s in seeds)) for k in ks]
 
 
-def gmm_bic(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 42) -> list[tuple[int, float, float]]:
-    """k, log-likelihood and BIC of full Gaussian mixtures."""
-    rows = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v")).persist()
-    n, d = rows.count(), len(rows.first()["_v"])
-    out = []
-    for k in ks:
-        ll = GaussianMixture(k=k, seed=seed, featuresCol="_v").fit(rows).summary.logLikelihood
-        free = (k - 1) + k * d + k * d * (d + 1) // 2
-        out.append((k, ll, -2 * ll + free * float(np.log(n))))
-    return out
+def gmm_bic(df: DataFrame, vector: str, ks: Sequence[int], kinds: Sequence[str] = ("full", "diag"), seed: int = 42, rounds: int = 100, tolerance: float = 1e-3, floor: float = 1e-6) -> list[tuple[str, int, float, float]]:
+    """kind, k, log-likelihood and BIC of Gaussian mixtures with full and with diagonal covariances, over all rows and all dimensions.
+
+    EM of all mixtures at once: each round is one pass that adds up every mixture's sums, in tasks, or for at most LIMIT rows on the driver. A mixture
+    rests when its mean log-likelihood grows by less than tolerance. Starts are k-means labels of at most LIMIT rows chosen by hash; floor is added to
+    variances, so components of fewer rows than dimensions stay finite. Rows without a vector don't count; ks above the number of rows are left out.
+    """
+    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("_v")).where("_v IS NOT NULL").persist()
+    n = rows.count()
+    start = np.array([r[0] for r in rows.orderBy(F.xxhash64(F.lit(seed), "_v"), "_v").limit(LIMIT).collect()], float)
+    models = {}
+    for k in (k for k in ks if k <= len(start)):
+        r = np.eye(k)[lloyd(start, k, seed, 1)]
+        for kind in kinds:
+            models[kind, k] = _gaussians(kind, *_moments(kind, start, r), floor)
+    out, last, moving = {}, {}, set(models)
+    for step in range(rounds + 1):  # the last pass only measures
+        at = {m: models[m] for m in moving}
+
+        def sums(x: np.ndarray, at=at) -> dict:
+            found = {}
+            for (kind, k), model in at.items():
+                logs = _log_densities(kind, x, model)
+                top = logs.max(1, keepdims=True)
+                total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
+                found[kind, k] = (total.sum(), *_moments(kind, x, np.exp(logs - total[:, None])))
+            return found
+
+        if n <= LIMIT:
+            parts = [sums(start)]
+        else:
+            ship(df.sparkSession)
+
+            def task(batches, sums=sums):
+                for batch in batches:
+                    yield pd.DataFrame({"part": [pickle.dumps(sums(np.array(batch["_v"].tolist(), float)))]})
+
+            parts = (pickle.loads(r[0]) for r in rows.mapInPandas(task, "part binary").toLocalIterator())
+        whole = {}
+        for part in parts:
+            for m, values in part.items():
+                whole[m] = [a + b for a, b in zip(whole[m], values, strict=True)] if m in whole else list(values)
+        for (kind, k), (ll, *moments) in whole.items():
+            m = (kind, k)
+            out[m] = float(ll)
+            if m in last and (ll - last[m]) / n < tolerance or step == rounds:
+                moving.discard(m)
+            else:
+                last[m], models[m] = ll, _gaussians(kind, *moments, floor)
+        if not moving:
+            break
+    d = start.shape[1] if len(start) else 0
+    free = {"full": lambda k: k - 1 + k * d + k * d * (d + 1) // 2, "diag": lambda k: k - 1 + 2 * k * d}
+    return [(kind, k, ll, -2 * ll + free[kind](k) * float(np.log(n))) for (kind, k), ll in sorted(out.items())]
+
+
+def _moments(kind: str, x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masses, sums and sums of squares (diag) or of products (full) of each component."""
+    squares = r.T @ x**2 if kind == "diag" else np.stack([(x * c[:, None]).T @ x for c in r.T])
+    return r.sum(0), r.T @ x, squares
+
+
+def _gaussians(kind: str, mass: np.ndarray, total: np.ndarray, squares: np.ndarray, floor: float) -> tuple:
+    """Log weights, means, inverse factors of the covariances, and half the log determinants of their inverses."""
+    safe = mass + 1e-10
+    mean = total / safe[:, None]
+    if kind == "diag":
+        scale = 1 / np.sqrt(np.maximum(squares / safe[:, None] - mean**2, 0) + floor)
+        return np.log(safe / safe.sum()), mean, scale, np.log(scale).sum(1)
+    # through eigenvalues, kept at the floor or above: sums less squares of means may fall below 0 by rounding
+    values, vectors = np.linalg.eigh(squares / safe[:, None, None] - mean[:, :, None] * mean[:, None])
+    scale = 1 / np.sqrt(np.maximum(values, 0) + floor)
+    return np.log(safe / safe.sum()), mean, vectors * scale[:, None], np.log(scale).sum(1)
+
+
+def _log_densities(kind: str, x: np.ndarray, model: tuple) -> np.ndarray:
+    weights, mean, scale, half = model
+    if kind == "diag":
+        p = scale**2
+        apart = x**2 @ p.T - 2 * x @ (mean * p).T + (mean**2 * p).sum(1)
+    else:
+        apart = np.stack([(((x - m) @ f) ** 2).sum(1) for m, f in zip(mean, scale, strict=True)], 1)
+    return weights + half - 0.5 * (x.shape[1] * np.log(2 * np.pi) + apart)
 
 
 def word_vectors(sentences: DataFrame, words: str, size: int, least: int, window: int = 999, seed: int = 42) -> DataFrame:
@@ -280,7 +357,7 @@ def lloyd(points: np.ndarray, k: int, seed: int = 42, runs: int = 10) -> np.ndar
     for _ in range(runs):
         centres = points[rng.choice(len(points), k, replace=False)]
         for _ in range(100):
-            d = ((points[:, None] - centres[None]) ** 2).sum(2)
+            d = np.maximum(0, (points**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * points @ centres.T)
             labels = d.argmin(1)
             new = np.stack([points[labels == c].mean(0) if (labels == c).any() else points[d.min(1).argmax()] for c in range(k)])
             if np.allclose(new, centres):

@@ -222,10 +222,9 @@ def kmeans_sweep(spark, folder):
 
 
 @R.query("gmm_bic")
-def gmm_bic(spark, folder):
-    """Mixtures of the embeddings' means by BIC."""
-    rows = table(spark, folder, "embeddings").select(F.slice("embedding", 1, 4).alias("v"))
-    return spark.createDataFrame([(k, float(ll), float(b)) for k, ll, b in C.gmm_bic(rows, "v", (2, 3, 5))], "k int, log_likelihood double, bic double")
+def gmm_bic(spark, folder, ks=range(2, 31)):
+    """Mixtures of the whole embeddings, with full and with diagonal covariances, by BIC."""
+    return spark.createDataFrame(C.gmm_bic(table(spark, folder, "embeddings"), "embedding", ks), "covariance string, k int, log_likelihood double, bic double")
 
 
 @R.query("word_vectors")

@@ -217,3 +217,18 @@ def test_table_validity(spark):
     assert agree([r[0] for r in found], [r[1] for r in found])
     with pytest.raises(ValueError):
         cluster.matrix(spark.range(cluster.LIMIT + 1).select("id", F.array(F.lit(1.0)).alias("v")), "id", "v")
+
+
+def test_mixtures_read_all_dimensions(spark, monkeypatch):
+    x, truth = blobs()
+    x = np.concatenate([np.random.default_rng(5).normal(size=(90, 4)), x], 1)  # what sets the groups apart stands last
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    got = {(kind, k): (ll, b) for kind, k, ll, b in cluster.gmm_bic(df, "v", (1, 2, 3, 4))}
+    for kind in ("full", "diag"):
+        assert min(range(1, 5), key=lambda k: got[kind, k][1]) == 3
+    cov = np.cov(x.T, bias=True) + 1e-6 * np.eye(6)
+    want = -0.5 * (90 * (6 * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1]) + np.einsum("ij,jk,ik", x - x.mean(0), np.linalg.inv(cov), x - x.mean(0)))
+    assert got["full", 1] == pytest.approx((want, -2 * want + (6 + 21) * math.log(90)))
+    monkeypatch.setattr(cluster, "LIMIT", 60)  # in tasks, from a start of 60 rows
+    far = {(kind, k): ll for kind, k, ll, _ in cluster.gmm_bic(df, "v", (1, 3))}
+    assert all(far[m] == pytest.approx(got[m][0], abs=0.5) for m in far)
