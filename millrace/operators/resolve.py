@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.text import gloss
+from millrace.functions.text import token as as_token
 from millrace.runtime import forget, materialise, materialised, salted_join, ship
 
 
@@ -70,6 +72,12 @@ def word_pairs(tokens: DataFrame, token: str) -> DataFrame:
     return split.join(t.select(F.col(token).alias("word")), "word").where("word <> phrase").select("word", "phrase")
 
 
+def gloss_pairs(names: DataFrame, name: str) -> DataFrame:
+    """short, long: the token of a typed name and that of its bracketed gloss, where they differ."""
+    rows = names.select(as_token(F.col(name)).alias("_x"), gloss(F.col(name)).alias("_y")).where("_x <> '' AND _y IS NOT NULL")
+    return _ordered(materialise(rows))  # written down, else the order works both out again and again
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """node, component: the smallest node of each connected component.
 
@@ -103,32 +111,65 @@ def canonical_pick(members: DataFrame, group: str, token: str, count: str, force
     return rows.withColumn("_first", first).withColumn("_k", F.row_number().over(w)).where("_k = 1").select(group, F.col(token).alias("canonical"))
 
 
-def resolve(occurrences: DataFrame, token: str, record: str, merges: DataFrame, placeholders: str, rare: int, excluded: Sequence[tuple[str, str]] = (), forced: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """raw_token, n_products, canonical, action, reason for every token.
+def resolve(occurrences: DataFrame, token: str, record: str, merges: DataFrame, placeholders: str, rare: int, excluded: Sequence[tuple[str, str]] = (), forced: Sequence[tuple[str, str]] = (), review: DataFrame | None = None) -> DataFrame:
+    """raw_token, n_products, canonical, action, reason, review for every token.
 
-    merges: short, long of tokens that mean the same; excluded pairs block the direct edge, forced ones add it. Placeholders (a pattern) and groups
+    merges: short, long of tokens that mean the same, and if known the reason. review: short, long, reason, ratio (null if it isn't likeness) of pairs to look
+    at that merge nothing; every token that is no placeholder has all of its own in the column review, as other, reason, ratio. The reason of a MERGE is
+    the evidence between the token and its canonical form, or that others tie them; that of a KEEP names what to look at, null if nothing. Excluded pairs block the direct edge, forced ones add it. Placeholders (a pattern) and groups
     in fewer than rare records are dropped. The group's records are counted distinctly over its members, without sets.
     """
     spark = occurrences.sparkSession
     held = occurrences.select(F.col(token).alias("raw_token"), F.col(record).alias("_r")).where("raw_token IS NOT NULL AND raw_token <> ''").distinct()
     counts = materialise(held.groupBy("raw_token").agg(F.count("_r").alias("n_products")))
-    edges = merges.select("short", "long")
+    edges = merges.select("short", "long", F.col("reason") if "reason" in merges.columns else F.lit("given pair").alias("reason"))
     if forced:
-        edges = edges.unionByName(spark.createDataFrame(list(forced), "short string, long string"))
+        edges = edges.unionByName(spark.createDataFrame([(*p, "forced") for p in forced], "short string, long string, reason string"))
     if excluded:
         blocked = spark.createDataFrame([p for a, b in excluded for p in ((a, b), (b, a))], "short string, long string")
         edges = edges.join(F.broadcast(blocked), ["short", "long"], "left_anti")  # a list given by hand
     noted = counts.withColumn("_drop", F.col("raw_token").rlike(placeholders))
     kept = noted.where("NOT _drop").select("raw_token")
     edges = edges.join(kept.withColumnRenamed("raw_token", "short"), "short", "left_semi").join(kept.withColumnRenamed("raw_token", "long"), "long", "left_semi")
+    edges = materialise(edges)
     groups = components(edges, "short", "long")
     member = noted.where("NOT _drop").join(groups.withColumnRenamed("node", "raw_token"), "raw_token", "left").withColumn("component", F.coalesce("component", "raw_token"))
     member = materialise(member)
     total = held.join(member.select("raw_token", "component"), "raw_token").groupBy("component").agg(F.countDistinct("_r").alias("_total"))
     out = member.join(canonical_pick(member, "component", "raw_token", "n_products"), "component").join(total, "component", "left")
     action = F.when(F.coalesce("_total", F.lit(0)) < rare, "DROP_RARE").when(F.col("canonical") == F.col("raw_token"), "KEEP").otherwise("MERGE")
-    out = out.select("raw_token", "n_products", F.when(F.coalesce("_total", F.lit(0)) >= rare, F.col("canonical")).alias("canonical"), action.alias("action"))
-    dropped = noted.where("_drop").select("raw_token", "n_products", F.lit(None).cast("string").alias("canonical"), F.lit("DROP_PLACEHOLDER").alias("action"))
+    direct = _both(edges).groupBy(F.col("short").alias("raw_token"), F.col("long").alias("canonical")).agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("_direct"))
+    seen = "array<struct<other:string,reason:string,ratio:double>>"
+    out = out.join(direct, ["raw_token", "canonical"], "left")
+    if review is None:
+        out = out.withColumn("review", F.array().cast(seen))
+    else:
+        # both ends must be tokens that aren't placeholders, as with the merges
+        pairs = _both(review.select("short", "long", "reason", F.col("ratio").cast("double").alias("ratio"))).withColumnsRenamed({"short": "raw_token", "long": "other"})
+        pairs = pairs.join(kept.withColumnRenamed("raw_token", "other"), "other", "left_semi")
+        found = pairs.groupBy("raw_token").agg(F.collect_set(F.struct(F.coalesce(-F.col("ratio"), F.lit(0.0)).alias("_o"), "other", "reason", "ratio")).alias("_l"))  # a token's pairs, at most the vocabulary
+        found = found.select("raw_token", F.transform(F.array_sort("_l"), lambda x: F.struct(x["other"].alias("other"), x["reason"].alias("reason"), x["ratio"].alias("ratio"))).alias("review"))
+        out = out.join(found, "raw_token", "left").withColumn("review", F.coalesce("review", F.array().cast(seen)))
+    parts = []
+    if excluded:
+        kept_apart = blocked.groupBy(F.col("short").alias("raw_token")).agg(F.array_join(F.array_sort(F.collect_set("long")), ", ").alias("_apart"))
+        out = out.join(F.broadcast(kept_apart), "raw_token", "left")  # a list given by hand
+        parts.append(F.concat(F.lit("kept apart by hand from "), "_apart"))
+    like, held_in = F.try_element_at(F.filter("review", lambda x: x["ratio"].isNotNull()), F.lit(1)), F.array_distinct(F.transform(F.filter("review", lambda x: x["ratio"].isNull()), lambda x: x["other"]))
+    out = materialise(out.withColumns({"action": action, "_like": like, "_held": held_in}))  # written down, as the reason names each of them several times
+    parts.append(F.when(F.col("_like").isNotNull(), F.format_string("REVIEW: like '%s' (ratio %.2f)", "_like.other", "_like.ratio")))
+    parts.append(F.when(F.size("_held") > 0, F.concat(F.lit("REVIEW: contained with "), F.array_join(F.slice("_held", 1, 5), ", "), F.when(F.size("_held") > 5, F.format_string(" (+%d more)", F.size("_held") - 5)).otherwise(""))))
+    noticed = F.concat_ws("; ", *parts)
+    reason = (
+        F.when(F.col("action") == "DROP_RARE", F.format_string(f"group '%s' in %d records, fewer than {rare}", "canonical", F.coalesce("_total", F.lit(0))))
+        .when(F.col("action") == "MERGE", F.coalesce("_direct", F.lit("tied through others of the group")))
+        .when(noticed != "", noticed)
+    )
+    out = out.withColumn("reason", reason).select("raw_token", "n_products", F.when(F.col("action") != "DROP_RARE", F.col("canonical")).alias("canonical"), "action", "reason", "review")
+    dropped = noted.where("_drop").select("raw_token", "n_products", F.lit(None).cast("string").alias("canonical"), F.lit("DROP_PLACEHOLDER").alias("action"), F.lit("name of no single note").alias("reason"), F.array().cast(seen).alias("review"))
     return out.unionByName(dropped)
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    """Pairs in both directions."""
+    return pairs.unionByName(pairs.select(F.col("long").alias("short"), F.col("short").alias("long"), *[c for c in pairs.columns if c not in ("short", "long")]))

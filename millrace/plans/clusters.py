@@ -13,6 +13,7 @@ from millrace.operators import resolve as E
 from millrace.plans import Registry, table
 from millrace.plans.catalogue import _TYPED, PLACEHOLDERS, product_notes
 from millrace.plans.similarity import _PPMI, counts, ppmi
+from millrace.runtime import materialise
 
 R = Registry()
 
@@ -76,10 +77,15 @@ def components(spark, folder):
 
 @R.query("resolved_tokens")
 def resolved_tokens(spark, folder):
-    """Every token with its canonical form and what was decided."""
-    t = tokens(spark, folder)
-    merges = E.fuzzy_pairs(t, "t").where("merges").select("short", "long").unionByName(E.compound_evidence(E.prefix_pairs(t, "t"), t, "t").where("merges").select("short", "long"))
-    return E.resolve(typed(spark, folder), "t", "product_id", merges, PLACEHOLDERS, rare=30)
+    """Every token with its canonical form, what was decided and why, and the pairs to look at."""
+    t = materialise(tokens(spark, folder))
+    like, parts = materialise(E.fuzzy_pairs(t, "t")), materialise(E.compound_evidence(E.prefix_pairs(t, "t"), t, "t"))
+    because = lambda df, reason, ratio=F.lit(None).cast("double"): df.select("short", "long", F.lit(reason).alias("reason"), ratio.alias("ratio"))
+    named = table(spark, folder, "notes_long").where("product_id IS NOT NULL").select("note_raw").distinct()
+    merges = because(E.gloss_pairs(named, "note_raw"), "bracketed gloss").unionByName(because(parts.where("merges"), "compound")).unionByName(because(like.where("merges"), "like spelling"))
+    words = E.word_pairs(t, "t").where(F.length("word") >= 3).select(F.col("word").alias("short"), F.col("phrase").alias("long"))
+    review = because(words, "whole word").unionByName(because(parts.where("NOT merges AND length(short) >= 5"), "containment")).unionByName(because(like.where("NOT merges"), "like spelling", F.round("ratio", 6)))
+    return E.resolve(typed(spark, folder), "t", "product_id", merges, PLACEHOLDERS, rare=30, review=review)
 
 
 # --- labelings ---

@@ -159,6 +159,21 @@ def test_resolve(spark):
     assert got == {"vanilla": ("vanilla", "KEEP"), "vanila": ("vanilla", "MERGE"), "rare": (None, "DROP_RARE"), "warm notes": (None, "DROP_PLACEHOLDER"), "clove": ("clove", "KEEP"), "clover": ("clover", "KEEP")}
 
 
+def test_resolve_gives_reasons_and_reads_glosses(spark):
+    names = spark.createDataFrame([("Agarwood (Oud)",), ("Oud",), ("Rose (fresh)",), ("Musk (Musk)",), (None,)], "n string")
+    glosses = resolve.gloss_pairs(names, "n")
+    assert rows(glosses) == [("oud", "agarwood"), ("rose", "fresh")]
+    seen = [(p, "agarwood") for p in range(20)] + [(p, "oud") for p in range(20, 35)] + [(p, "rose") for p in range(40)] + [(p, "rose petal") for p in range(40)] + [(1, "rare"), (1, "warm notes")]
+    df = spark.createDataFrame(seen, "p long, t string")
+    review = spark.createDataFrame([("rose", "rose petal", "whole word", None), ("rose", "rosa", "like spelling", 0.85), ("oud", "rose", "like spelling", 0.8)], "short string, long string, reason string, ratio double")
+    got = {r.raw_token: r for r in resolve.resolve(df, "t", "p", glosses.withColumn("reason", F.lit("gloss")), "notes$", 30, review=review).collect()}
+    assert {t: (r.canonical, r.action, r.reason) for t, r in got.items()} == {
+        "agarwood": ("agarwood", "KEEP", None), "oud": ("agarwood", "MERGE", "gloss"), "rose": ("rose", "KEEP", "REVIEW: like 'oud' (ratio 0.80); REVIEW: contained with rose petal"),
+        "rose petal": ("rose petal", "KEEP", "REVIEW: contained with rose"), "rare": (None, "DROP_RARE", "group 'rare' in 1 records, fewer than 30"), "warm notes": (None, "DROP_PLACEHOLDER", "name of no single note"),
+    }
+    assert [tuple(x) for x in got["rose"].review] == [("oud", "like spelling", 0.8), ("rose petal", "whole word", None)] and [x.other for x in got["oud"].review] == ["rose"]
+
+
 def test_salted_join(spark, monkeypatch):
     from millrace import runtime
 
