@@ -261,6 +261,16 @@ def svd_embedding(m: np.ndarray, size: int) -> np.ndarray:
     return out * np.where(out[np.abs(out).argmax(0), range(out.shape[1])] < 0, -1, 1)
 
 
+def rand_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Adjusted Rand index of two labelings of the rows of a matrix."""
+    cells = np.zeros((a.max() + 1, b.max() + 1))
+    np.add.at(cells, (a, b), 1)
+    two = lambda c: (c * (c - 1) / 2).sum()
+    ij, i, j = two(cells), two(cells.sum(1)), two(cells.sum(0))
+    expected = i * j / max(len(a) * (len(a) - 1) / 2, 1)
+    return float((ij - expected) / ((i + j) / 2 - expected)) if (i + j) / 2 != expected else 1.0
+
+
 def silhouette_exact(points: np.ndarray, labels: np.ndarray) -> float:
     """Mean silhouette with euclidean distances; a cluster of one counts 0."""
     d = np.sqrt(np.maximum(0, (points**2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * points @ points.T))

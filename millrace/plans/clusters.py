@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -265,29 +267,28 @@ def alternative_clusterings(spark, folder):
 
 
 @R.query("bootstrap_stability")
-def bootstrap_stability(spark, folder):
-    """Agreement of families over resampled products: each product counts as often as drawn, once on the pair."""
+def bootstrap_stability(spark, folder, runs: int = 20, ks=(8, 10, 12, 15, 18, 20, 25), dimensions: int = 50):
+    """Agreement of families over resampled products for each k: each product counts as often as drawn, once on the pair."""
     notes = product_notes(spark, folder)
-    runs = 4
-    # a Poisson draw by hash for each product and run, so that any task draws the same
+    # a Poisson draw by hash for each product and run, so that any task draws the same: the number of values of its distribution function below a fraction of 2^-30 steps
     u = lambda b: (F.pmod(F.xxhash64(F.lit(b), "product_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    drawn = lambda b: F.when(u(b) < 0.3678794, 0).when(u(b) < 0.7357589, 1).when(u(b) < 0.9196986, 2).when(u(b) < 0.9810118, 3).otherwise(4)
+    upto = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)]).tolist()  # the last is above every fraction
     sets = notes.groupBy("product_id").agg(F.array_sort(F.collect_set("note")).alias("_l"))
-    weights = sets.select("_l", F.array(*[drawn(b) for b in range(runs)]).alias("_w"))
+    weights = sets.select("_l", F.transform(F.array(*[u(b) for b in range(runs)]), lambda x: F.size(F.filter(F.lit(upto), lambda p: p <= x))).alias("_w"))
     pairs = weights.select(F.posexplode("_l").alias("_p", "a"), "_l", "_w").select("a", F.explode(F.slice("_l", F.col("_p") + 2, F.size("_l"))).alias("b"), "_w")
-    counted = pairs.groupBy("a", "b").agg(*[F.sum(F.col("_w")[i]).alias(f"n{i}") for i in range(runs)]).persist()
+    counted = materialise(pairs.groupBy("a", "b").agg(*[F.sum(F.col("_w")[i]).alias(f"n{i}") for i in range(runs)]))
     names = [r["note"] for r in notes.select("note").distinct().orderBy("note").limit(C.LIMIT + 1).collect()]
-    labels = []
+    labels = {k: [] for k in ks if k <= len(names)}
     for i in range(runs):
         m = C.square(A.ppmi(counted.select("a", "b", F.col(f"n{i}").alias("n")).where("n > 0")), "a", "b", "ppmi", names)
-        labels.append(C.lloyd(C.svd_embedding(m, 20), 15))
-    long = spark.createDataFrame([(n, *[int(x[k]) for x in labels]) for k, n in enumerate(names)], "note string, " + ", ".join(f"r{i} int" for i in range(runs)))
-    out = None
-    for i in range(runs):
-        for j in range(i + 1, runs):
-            one = C.adjusted_rand(long, f"r{i}", f"r{j}")
-            out = one if out is None else out.unionByName(one)
-    return out.agg(F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari"), F.count(F.lit(1)).alias("n_pairs"))
+        points = C.svd_embedding(m, dimensions)
+        for k, found in labels.items():
+            found.append(C.lloyd(points, k))
+    rows = []
+    for k, found in labels.items():
+        aris = [C.rand_of(found[i], found[j]) for i in range(runs) for j in range(i + 1, runs)]
+        rows.append((k, float(np.mean(aris)), float(np.std(aris)), len(aris)))
+    return spark.createDataFrame(rows, "k int, mean_ari double, std_ari double, n_pairs int")
 
 
 @R.query("hierarchy")

@@ -2,10 +2,13 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import cluster as C
 from millrace.operators import vectors as V
+from millrace.plans import clusters as P
 from millrace.plans import similarity as S
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -31,3 +34,12 @@ def test_grid_search_tries_all_and_tests_the_best(spark):
         want = S._metrics(lists, true).first()
         mine = next(r for r in tried if r.representation == name and r.untuned)
         assert {c: mine[c] for c in want.asDict()} == want.asDict()
+
+
+def test_stability_has_a_row_for_each_k(spark):
+    got = P.bootstrap_stability(spark, FOLDER).collect()
+    assert [(r.k, r.n_pairs) for r in got] == [(k, 190) for k in (8, 10, 12, 15, 18, 20, 25)]
+    assert all(0 < r.mean_ari < 1 and r.std_ari > 0 for r in got)
+    a, b = np.array([0, 0, 1, 1, 2, 2]), np.array([0, 0, 1, 2, 2, 2])
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a int, b int")
+    assert C.rand_of(a, b) == pytest.approx(C.adjusted_rand(df, "a", "b").first()[0]) and C.rand_of(a, a) == 1
