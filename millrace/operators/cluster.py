@@ -31,12 +31,6 @@ def kmeans(df: DataFrame, vector: str, k: int, seeds: Sequence[int] = range(10))
     return out
 
 
-def kmeans_costs(df: DataFrame, vector: str, ks: Sequence[int], seeds: Sequence[int] = (42,)) -> list[tuple[int, float]]:
-    """Least cost for each k."""
-    rows = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v")).persist()
-    return [(k, min(KMeans(k=k, seed=s, featuresCol="_v").fit(rows).summary.trainingCost for s in seeds)) for k in ks]
-
-
 def gmm_bic(df: DataFrame, vector: str, ks: Sequence[int], kinds: Sequence[str] = ("full", "diag"), seed: int = 42, rounds: int = 100, tolerance: float = 1e-3, floor: float = 1e-6) -> list[tuple[str, int, float, float]]:
     """kind, k, log-likelihood and BIC of Gaussian mixtures with full and with diagonal covariances, over all rows and all dimensions.
 
@@ -286,6 +280,21 @@ def silhouette_exact(points: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).mean())
 
 
+def validity(points: np.ndarray, labels: np.ndarray) -> dict[str, float]:
+    """Of a labeling of a matrix: cost, exact silhouette, Calinski-Harabasz and Davies-Bouldin, and the sizes of clusters."""
+    kinds, own, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    centres = np.stack([points[own == c].mean(0) for c in range(len(kinds))])
+    apart = np.sqrt(((points - centres[own]) ** 2).sum(1))
+    within, between = float((apart**2).sum()), float((sizes[:, None] * (centres - points.mean(0)) ** 2).sum())
+    spread = np.bincount(own, apart) / sizes
+    gaps = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))
+    np.fill_diagonal(gaps, np.inf)
+    return {
+        "cost": within, "silhouette": silhouette_exact(points, labels), "calinski_harabasz": between * (len(points) - len(kinds)) / max(within * (len(kinds) - 1), 1e-300),
+        "davies_bouldin": float(((spread[:, None] + spread[None]) / np.maximum(gaps, 1e-300)).max(1).mean()), "mean_size": float(sizes.mean()), "largest": int(sizes.max()), "n_singletons": int((sizes == 1).sum()),
+    }
+
+
 def knee(xs: Sequence[float], ys: Sequence[float]) -> float:
     """Of a convex falling curve the x farthest below the chord between its ends, both axes scaled to 0..1."""
     x, y = np.asarray(xs, float), np.asarray(ys, float)

@@ -222,11 +222,13 @@ def kmeans_families(spark, folder):
 
 
 @R.query("kmeans_sweep")
-def kmeans_sweep(spark, folder):
-    """Cost by number of families, with the knee."""
-    costs = C.kmeans_costs(svd_embedding(spark, folder), "vector", range(2, 13, 2))
-    at = C.knee([k for k, _ in costs], [c for _, c in costs])
-    return spark.createDataFrame([(k, float(c), k == at) for k, c in costs], "k int, cost double, knee boolean")
+def kmeans_sweep(spark, folder, ks=range(2, 31), starts: int = 10):
+    """Cost, validity and sizes by number of families, of the best of several starts, with the knee of the cost."""
+    _, points = _embedded(spark, folder)
+    rows = [{"k": k} | C.validity(points, C.lloyd(points, k, runs=starts)) for k in ks if k < len(points)]
+    at = C.knee([r["k"] for r in rows], [r["cost"] for r in rows]) if len(rows) > 1 else None
+    schema = "k int, cost double, silhouette double, calinski_harabasz double, davies_bouldin double, mean_size double, largest int, n_singletons int, knee boolean"
+    return spark.createDataFrame([(*r.values(), r["k"] == at) for r in rows], schema)
 
 
 @R.query("gmm_bic")

@@ -247,3 +247,12 @@ def test_mixtures_read_all_dimensions(spark, monkeypatch):
     monkeypatch.setattr(cluster, "LIMIT", 60)  # in tasks, from a start of 60 rows
     far = {(kind, k): ll for kind, k, ll, _ in cluster.gmm_bic(df, "v", (1, 3))}
     assert all(far[m] == pytest.approx(got[m][0], abs=0.5) for m in far)
+
+
+def test_validity_of_a_matrix(spark):
+    x, truth = blobs()
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (v, c) in enumerate(zip(x, truth))], "id long, c int, v array<double>")
+    mine = cluster.validity(x, truth)
+    assert mine["calinski_harabasz"] == pytest.approx(cluster.calinski_harabasz(df, "id", "c", "v").first()[0])
+    assert mine["davies_bouldin"] == pytest.approx(cluster.davies_bouldin(df, "id", "c", "v").first()[0])
+    assert (mine["mean_size"], mine["largest"], mine["n_singletons"]) == (30, 30, 0) and mine["silhouette"] == cluster.silhouette_exact(x, truth)

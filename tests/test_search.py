@@ -43,3 +43,9 @@ def test_stability_has_a_row_for_each_k(spark):
     a, b = np.array([0, 0, 1, 1, 2, 2]), np.array([0, 0, 1, 2, 2, 2])
     df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a int, b int")
     assert C.rand_of(a, b) == pytest.approx(C.adjusted_rand(df, "a", "b").first()[0]) and C.rand_of(a, a) == 1
+
+
+def test_sweep_covers_every_k(spark):
+    got = P.kmeans_sweep(spark, FOLDER).collect()
+    assert [r.k for r in got] == list(range(2, 31)) and sum(r.knee for r in got) == 1
+    assert all(-1 < r.silhouette < 1 and r.calinski_harabasz > 0 and r.davies_bouldin > 0 and r.largest >= r.mean_size for r in got)
