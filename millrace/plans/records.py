@@ -108,3 +108,15 @@ def p4_claims(spark: SparkSession, folder: str) -> DataFrame:
 def p4_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """Array elements that aren't the expected object."""
     return shredded(spark, folder).rejects().withColumnRenamed("key", "product_id")
+
+
+@R.query("p4_ties")
+def p4_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """The shared table of similar products; id_ is the product that a tie names."""
+    return shredded(spark, folder).table("tie").withColumnRenamed("key", "product_id")
+
+
+@R.query("p4_records")
+def p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The root table, with the relation and the seasons inlined."""
+    return shredded(spark, folder).table("record").withColumnRenamed("key", "product_id")

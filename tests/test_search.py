@@ -49,3 +49,17 @@ def test_sweep_covers_every_k(spark):
     got = P.kmeans_sweep(spark, FOLDER).collect()
     assert [r.k for r in got] == list(range(2, 31)) and sum(r.knee for r in got) == 1
     assert all(-1 < r.silhouette < 1 and r.calinski_harabasz > 0 and r.davies_bouldin > 0 and r.largest >= r.mean_size for r in got)
+
+
+def test_ties_and_records_have_tables(spark):
+    from millrace.plans import records
+
+    found = records.p4_found(spark, FOLDER).where("path LIKE 'similar.%'").select("product_id", "path", "pos")
+    ties = records.p4_ties(spark, FOLDER)
+    usable = ties.where(F.col("id_").rlike(r"(?U)\S")).select("product_id", F.col("place").alias("path"), F.col("pos").cast("int").alias("pos"))
+    assert {"up_votes", "down_votes"} <= set(ties.columns) and usable.count() > 0
+    assert sorted(map(tuple, usable.collect())) == sorted(map(tuple, found.collect()))
+    root = records.p4_records(spark, FOLDER)
+    assert {"relation_have", "relation_had", "relation_want", "seasons_winter", "seasons_autumn"} <= set(root.columns)
+    want = records.p4_found(spark, FOLDER).where("path = 'relation.have'").count()
+    assert root.count() == root.select("product_id").distinct().count() and 0 < root.where("relation_have IS NOT NULL").count() <= want
