@@ -241,7 +241,7 @@ def gmm_bic(spark, folder, ks=range(2, 31)):
 def word_vectors(spark, folder):
     """Skip-gram vectors of notes, whole products as sentences."""
     said = product_notes(spark, folder).groupBy("product_id").agg(F.array_sort(F.collect_list("note")).alias("words"))
-    return C.word_vectors(said, "words", 16, 30)
+    return C.word_vectors(said, "words", 50, 30)
 
 
 @R.query("alternative_clusterings")
@@ -256,7 +256,7 @@ def alternative_clusterings(spark, folder):
     others = {
         "ward": C.cut(C.linkage(euclid, "ward"), 15), "cosine_average": C.cut(C.linkage(cosine, "average"), 15), "complete": C.cut(C.linkage(euclid, "complete"), 15), "single": C.cut(C.linkage(euclid, "single"), 15),
         "spectral": C.spectral(affinity, 15), "gmm_diagonal": C.diagonal_gmm(points, 15)[0], "som": C.self_organising_map(points, 6, 6)[0],
-        "louvain": C.louvain(np.where(np.eye(len(names)) > 0, 0, affinity)), "density": C.density_clusters(euclid, 5),
+        "louvain": C.louvain(C.square(A.ppmi(counts(spark, folder)).where("ppmi >= 1"), "a", "b", "ppmi", names)), **{f"density_{n}": C.density_clusters(euclid, n) for n in (5, 10, 20)},
     }
     rows = [(n, a, int(b), int(x)) for a, labels in others.items() for n, b, x in zip(names, base, labels, strict=True)]
     long = spark.createDataFrame(rows, "note string, algorithm string, kmeans int, label int")

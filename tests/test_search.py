@@ -63,3 +63,11 @@ def test_ties_and_records_have_tables(spark):
     assert {"relation_have", "relation_had", "relation_want", "seasons_winter", "seasons_autumn"} <= set(root.columns)
     want = records.p4_found(spark, FOLDER).where("path = 'relation.have'").count()
     assert root.count() == root.select("product_id").distinct().count() and 0 < root.where("relation_have IS NOT NULL").count() <= want
+
+
+def test_alternatives_have_all_minimum_sizes_and_the_strong_graph(spark):
+    got = {r.algorithm: r for r in P.alternative_clusterings(spark, FOLDER).collect()}
+    assert {"density_5", "density_10", "density_20"} <= set(got) and len(got) == 11
+    names, _ = P._embedded(spark, FOLDER)
+    strong = C.square(P.A.ppmi(P.counts(spark, FOLDER)).where("ppmi >= 1"), "a", "b", "ppmi", names)
+    assert got["louvain"].n_clusters == len(set(C.louvain(strong)))
