@@ -18,14 +18,6 @@ from millrace.plans import Registry, table
 
 R = Registry()
 
-#: What people add to a note's name: lots, processes, strengths, numbers, claims of being the real one.
-NOTE_NOISE = (
-    r"\([^)]*\)|\[[^\]]*\]",
-    r"#\s*\d+|\d+([.,]\d+)?\s*%",
-    r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$",
-    r"\s+-\s+upper part$|\s+type$",
-    r"^(real|note of)\s",
-)
 SCORES = {"approval_demeaned": True, "desire_demeaned": True, "sentiment_polarity": True, "supply_share": False}
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -101,7 +93,7 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
 def mapped_notes(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_values(
         table(spark, folder, "notes_long"), "note_raw", table(spark, folder, "taxonomy_map"), "canonical_note",
-        table(spark, folder, "note_normalisation"), "raw_token", "canonical", "action", undecided=("REVIEW",), noise=NOTE_NOISE,
+        table(spark, folder, "note_normalisation"), "raw_token", "canonical", "action", undecided=("REVIEW",),
     )
 
 

@@ -3,7 +3,6 @@
 import random
 
 from millrace.llm.canon import canonical_values
-from millrace.llm.queries import NOTE_NOISE
 
 ENTRIES = ["black water", "harsti wood", "harstie wood", "saemilt", "drepei kelp", "nethfil", "nethfil accord", "golden posflork moss", "ab"]
 DECISIONS = [
@@ -16,7 +15,7 @@ def mapped(spark, values, entries=ENTRIES, decisions=DECISIONS):
     df = spark.createDataFrame([(v, "x") for v in values], "v string, canonical string")
     ref = spark.createDataFrame([(e,) for e in entries], "e string")
     dec = spark.createDataFrame(decisions, "r string, c string, a string") if decisions is not None else None
-    rows = canonical_values(df, "v", ref, "e", dec, "r", "c", "a", ("REVIEW",), NOTE_NOISE).collect()
+    rows = canonical_values(df, "v", ref, "e", dec, "r", "c", "a", ("REVIEW",)).collect()
     out = {x.value: x for x in rows}
     assert len(out) == len(rows)
     return out
@@ -31,11 +30,31 @@ def test_ways(spark):
         "Biaxdrael": "saemilt", "warm notes": None, "Warm  Notes": None, "old name": None, "Casa Falnu base": None, "like drepei": None, "???": None, "12": None, "ac": None, "ab": "ab", "x" * 20_000: None,
         "undecided": None,
     }
+    # additions count where the values show them with three entries
+    for e in ("saemilt", "drepei kelp", "harsti wood"):
+        want |= {f"{e} ({a})": e for a in ("organic", "lot 12")} | {f"{e} {a}": e for a in ("#7", "31%", "type")} | {f"{a} {e}": e for a in ("real", "note of")}
     got = mapped(spark, [*want, *want, None, "", "   "])
     assert {v: x.canonical for v, x in got.items()} == want
+    assert got["Black Water (organic)"].how == "added"
     assert got["Biaxdrael"].how == "decision" and got["Water, Black"].how == "words" and got["black watre"].how == "near" and got["???"].how == "none"
 
 
+def test_additions(spark):
+    seen = ["rare saemilt", "rare nethfil", "saemilt wodd", "nethfil wodd", "drepei kelp wodd", "saemilt cold 7", "nethfil cold 88", "drepei kelp Cold 123", "nethfill cold 5", "77777 saemilt cold 1"]
+    got = {v: x.canonical for v, x in mapped(spark, seen, decisions=None).items()}
+    assert got["rare saemilt"] is None and got["rare nethfil"] is None  # with two entries only
+    assert got["saemilt wodd"] is None  # like a word of an entry
+    assert got["saemilt cold 7"] == "saemilt" and got["drepei kelp Cold 123"] == "drepei kelp" and got["nethfill cold 5"] == "nethfil"
+    assert got["77777 saemilt cold 1"] is None  # no other value has a number before an entry
+
+
+def test_long_values(spark):
+    entries = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(80))]
+    moved = " ".join(entries[0].split()[1:] + entries[0].split()[:1])
+    got = {v: x.canonical for v, x in mapped(spark, [entries[0].upper(), moved, " ".join(entries[0].split()[:70])], entries, None).items()}
+    assert list(got.values()).count(entries[0]) == 2 and got[moved] == entries[0]
+
+
 def test_empty(spark):
     assert mapped(spark, []) == {}
     assert {v: x.canonical for v, x in mapped(spark, ["a b", None], entries=[], decisions=None).items()} == {"a b": None}
