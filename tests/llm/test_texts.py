@@ -1,13 +1,14 @@
 """Operators on texts."""
 
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import tokens as T
-from millrace.llm.mixing import mix_sources
+from millrace.llm.mixing import _reachable, mix_sources
 from millrace.llm.pieces import oversized, split, split_texts
 
 ENC = T.encoder(T.vocabulary_path())
@@ -127,12 +128,49 @@ def test_mixing(spark):
         most = {"red": 3, "blue": 3, "tiny": 2, None: 2}.get(texts[i].src, 0)
         assert 0 <= r.copies <= most and r.rate <= most
     assert {s: r.short for s, r in report.items()} == {"red": False, "blue": False, "tiny": True, "none": True}
-    for s, share in (("red", 0.3), ("blue", 0.4)):
-        assert report[s].reached_tokens == pytest.approx(share * total, rel=0.08)
+    for s, r in report.items():
+        assert r.all_tokens == total and r.needed_tokens == pytest.approx(r.target_share * total) and r.converged
+        assert abs(r.reached_share - r.best_share) < 0.02 and r.gap == pytest.approx(r.reached_share - r.best_share)
+    # what tiny and none lack goes to red and blue in equal parts
+    assert report["none"].best_share == 0 and report["tiny"].best_share < 0.2
+    assert report["red"].best_share - 0.3 == pytest.approx(report["blue"].best_share - 0.4)
+    assert sum(r.best_share for r in report.values()) == pytest.approx(1)
     assert next(r for r in rows.values() if texts[r.id].text == "rose ruby wine rose").domain == "red"
     assert sum(r.reached_share for r in report.values()) == pytest.approx(1)
 
 
+def test_mixing_keeps_rows(spark):
+    docs, targets = sources(spark)
+    plain = [(r.id, r.src, r.text) for r in docs.collect()]
+    more = plain + [(7_000, None, "rose ruby wine rose ruby")] * 3 + [(None, None, "sea sky ink sea"), (None, "red", "rose"), (None, None, "rose wine")] * 2 + [(7_001, None, "sea " * 4_000)] * 3
+    out = mix_sources(spark.createDataFrame(more, "id long, src string, text string"), "id", "text", "src", targets).documents.collect()
+    assert Counter((r.id, r.source, r.n_tokens) for r in out) == Counter((i, s, len(ENC.encode_ordinary(t or ""))) for i, s, t in more)
+    for i in (7_000, 7_001):
+        assert len({(r.copies, r.rate, r.domain) for r in out if r.id == i}) == 1
+
+
+def test_mixing_reaches_what_can_be_reached(spark):
+    rng = random.Random(4)
+    words = {"red": "rose ruby wine", "blue": "sea sky ink", "green": "moss leaf fern"}
+    rows = [(s if rng.random() < 0.7 else None, " ".join(rng.choice(w.split()) for _ in range(rng.randrange(5, 90)))) for s, w in words.items() for _ in range(300)]
+    docs = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "id long, src string, text string")
+    targets = spark.createDataFrame([("red", 0.2, 3), ("blue", 0.3, 3), ("green", 0.5, 3)], "src string, target_share double, max_repeats int")
+    report = mix_sources(docs, "id", "text", "src", targets).report.collect()
+    assert all(r.converged and not r.short and r.best_share == pytest.approx(r.target_share, abs=1e-6) and abs(r.gap) < 0.01 for r in report)
+    assert sum(r.reached_tokens for r in report) == pytest.approx(report[0].all_tokens, rel=0.02)
+    # one round of the gradient isn't enough with documents without a source, and is reported
+    assert not any(r.converged for r in mix_sources(docs, "id", "text", "src", targets, rounds=0).report.collect())
+
+
+def test_reachable():
+    assert _reachable([0.5, 0.5], [1e9, 1e9], 100, 0.5) == (100, pytest.approx([50, 50]))
+    total, tokens = _reachable([0.5, 0.5], [30, 1e9], 100, 0.5)  # at 60 both have a half
+    assert total == pytest.approx(60, rel=1e-3) and tokens == pytest.approx([30, 30], rel=1e-3)
+    total, tokens = _reachable([0.5, 0.3, 0.2], [0, 1e9, 1e9], 100, 0.5)
+    assert total == 100 and tokens == pytest.approx([0, 55, 45])
+    assert _reachable([0.5, 0.5], [0, 0], 100, 0.5) == (0.0, [0.0, 0.0])
+
+
 def test_mixing_empty(spark):
     docs, targets = sources(spark)
     report = mix_sources(docs.where("false"), "id", "text", "src", targets).report.collect()
