@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +37,13 @@ def session(app: str = "millrace", cores: str | int = "*", **conf: str) -> Spark
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the one the cluster names in spark.checkpoint.dir. Only where that is unset
-    (a local run or a test) a folder of our own is made and set.
+    It is the one the cluster names in spark.checkpoint.dir. Where that is unset, a local run (or a test)
+    gets a folder of its own; on a cluster, whose executors wouldn't share it, that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -78,11 +80,44 @@ def materialise(df: DataFrame) -> DataFrame:
     planner knows its true size.
     """
     spark = df.sparkSession
-    path = f"{scratch(spark)}/millrace/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A new place for an intermediate table. What lies there is deleted when the session's process ends."""
+    own = f"{scratch(spark)}/millrace/{spark.sparkContext.applicationId}"
+    if own not in _swept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _swept.add(own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def prepared(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read, built by the first one of the session and written to the shared folder.
+
+    It is built anew if any of the input paths has other files, sizes or times than when it was written.
+    """
+    state = []
+    for p in inputs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []:
+            held = f.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(f.getPath())
+            state += [(str(x.getPath()), x.getLen(), x.getModificationTime()) for x in held]
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(state)))
+    if key not in _prepared:
+        _prepared[key] = materialise(build())
+    return _prepared[key]
+
+
+_swept: set[str] = set()
+_prepared: dict[tuple, DataFrame] = {}
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table written by materialise that no later step reads."""
     spark = df.sparkSession
@@ -107,9 +142,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     """Keys that hold more than a share of all rows: at most 1/share of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") > F.lit(share) * F.col("_t")).select(key)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_hot_rows"))
+    total = df.agg(F.count(F.lit(1)).alias("_all_rows"))  # one row
+    return counts.crossJoin(F.broadcast(total)).where(F.col("_hot_rows") > F.lit(share) * F.col("_all_rows")).select(key)
 
 
 def salted_join(big: DataFrame, other: DataFrame, key: str, how: str = "inner", rows: int | None = None, salts: int = 32, share: float = 0.01) -> DataFrame:

@@ -256,3 +256,37 @@ def test_validity_of_a_matrix(spark):
     assert mine["calinski_harabasz"] == pytest.approx(cluster.calinski_harabasz(df, "id", "c", "v").first()[0])
     assert mine["davies_bouldin"] == pytest.approx(cluster.davies_bouldin(df, "id", "c", "v").first()[0])
     assert (mine["mean_size"], mine["largest"], mine["n_singletons"]) == (30, 30, 0) and mine["silhouette"] == cluster.silhouette_exact(x, truth)
+
+
+def test_salted_join_with_clashing_names(spark, monkeypatch):
+    from millrace import runtime
+
+    monkeypatch.setattr(runtime, "SALT_ROWS", 0)
+    big = spark.createDataFrame([(1, i) for i in range(200)] + [(2, 1), (None, 2)], "_t long, _n long")
+    other = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "_t long, v string")
+    assert sorted(x.v for x in runtime.salted_join(big, other, "_t").collect()) == ["a"] * 200 + ["b"]
+
+
+def test_prepared_follows_its_inputs(spark, tmp_path):
+    from millrace.runtime import prepared
+
+    at, built = str(tmp_path / "x.parquet"), []
+    for n in (3, 5):
+        spark.range(n).write.mode("overwrite").parquet(at)
+        for _ in range(2):
+            assert prepared(spark, "x", [at], lambda: (built.append(1), spark.read.parquet(at))[1]).count() == n
+    assert len(built) == 2
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from millrace import runtime
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context, type("Conf", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(RuntimeError):
+        runtime.scratch(Session)
