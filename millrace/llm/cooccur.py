@@ -20,8 +20,8 @@ def cooccurrence(df: DataFrame, record: str, item: str, min_count: int = 1, min_
     test is exact in decimals.
 
     Large-basket blocking: a record is held in chunks of about chunk_items items. Each chunk gives
-    the pairs within it; of a record with several chunks every pair of chunks is one row that
-    gives the pairs across, and those rows are dealt over all tasks. All pairs are counted
+    the pairs within it; of a record with several chunks every pair of chunks is a key of its own that
+    gives the pairs across, and those keys are dealt over all tasks. All pairs are counted
     in the task that makes them, so what is shuffled is bounded by the different pairs, not by
     the pairs of the largest record.
 
@@ -33,11 +33,12 @@ def cooccurrence(df: DataFrame, record: str, item: str, min_count: int = 1, min_
     items = baskets.select("_r", "_chunks", "_chunk", F.col("_items.i").alias("_l"))
     within = items.select(F.posexplode("_l").alias("_p", "_a"), "_l").select("_a", F.explode(F.slice("_l", F.col("_p") + 1, F.size("_l"))).alias("_b"))
     chunked = items.where("_chunks > 1")
+    # each chunk goes to its pairs before the join, so that no task meets all chunks of a record
+    last = F.col("_chunks") - 1
+    firsts = chunked.where(F.col("_chunk") < last).select("_r", F.col("_chunk").alias("_c1"), F.explode(F.sequence(F.col("_chunk") + 1, last)).alias("_c2"), F.col("_l").alias("_x"))
+    seconds = chunked.where("_chunk > 0").select("_r", F.explode(F.sequence(F.lit(0), F.col("_chunk") - 1)).alias("_c1"), F.col("_chunk").alias("_c2"), F.col("_l").alias("_y"))
     across = (
-        chunked.select("_r", F.col("_chunk").alias("_c1"), F.col("_l").alias("_x"))
-        .join(chunked.select("_r", F.col("_chunk").alias("_c2"), F.col("_l").alias("_y")), "_r")
-        .where("_c1 < _c2")
-        .repartition("_r", "_c1", "_c2")
+        firsts.hint("shuffle_hash").join(seconds, ["_r", "_c1", "_c2"])
         .select(F.explode("_x").alias("_p"), "_y")
         .select("_p", F.explode("_y").alias("_q"))
         .select(F.least("_p", "_q").alias("_a"), F.greatest("_p", "_q").alias("_b"))

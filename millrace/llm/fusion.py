@@ -7,15 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.runtime import materialise, require, small
+from millrace.runtime import materialise, materialised, require, salted_join, small
 
 #: Groups of more rows are ranked in slices, by several tasks.
 PLAIN_GROUP = 500_000
-#: Slices of such a group.
-SLICES = 64
+#: Rows of a slice of such a group, about.
+SLICE_ROWS = 100_000
 
 
-def rank_fusion(df: DataFrame, group: str, item: str, scores: Mapping[str, bool], k: int = 60, plain_group: int = PLAIN_GROUP, slices: int = SLICES) -> DataFrame:
+def rank_fusion(df: DataFrame, group: str, item: str, scores: Mapping[str, bool], k: int = 60, plain_group: int = PLAIN_GROUP, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Reciprocal rank fusion: items ranked for each score, then by the sum of 1 / (k + rank).
 
     scores maps each score column to whether high values are better. Only ranks count, so no
@@ -34,8 +34,9 @@ def rank_fusion(df: DataFrame, group: str, item: str, scores: Mapping[str, bool]
     up = list(scores.values())
     # one direction: the greater, the better; NaN counts as null
     src = src.select("_g", "_i", *[_value(n, u).alias(n) for n, u in zip(names, up, strict=True)]).distinct()
-    large = materialise(src.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > plain_group).select("_g"))
-    if large.isEmpty():
+    large, seen = materialised(src.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > plain_group), rows=F.sum("_n"))
+    large, slices = large.select("_g"), -(-(seen["rows"] or 0) // slice_rows)
+    if not slices:
         fused = _plain(src, names, k)
         return _out(fused.withColumn("_place", F.row_number().over(_order("_g"))), group, item)
     large = small(large)
@@ -88,11 +89,15 @@ def _sliced(src: DataFrame, names: list[str], k: int, slices: int) -> DataFrame:
     long = materialise(long)  # the ids must stay what they are
     tall = long.select("_g", "_i", "_row", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(n).alias("v")) for i, n in enumerate(names)])).alias("_x"))
     tall = tall.select("_g", "_i", "_row", F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
-    counted = materialise(tall.where("_v IS NOT NULL").groupBy("_g", "_m", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    valued = tall.where("_v IS NOT NULL")
+    counted = materialise(valued.groupBy("_g", "_m", "_v").agg(F.count(F.lit(1)).alias("_n")))
     ranks = _ranged(counted, ["_g", "_m"], [F.desc("_v")], F.col("_n"), slices).select("_g", "_m", "_v", (F.col("_before") + 1).alias("_rank"))
-    term = F.when(F.col("_rank").isNotNull(), 1.0 / (k + F.col("_rank"))).otherwise(0.0)
+    # a frequent value is a hot key: salted; rows without a value need no rank and don't enter the join
+    key = F.struct("_g", "_m", "_v").alias("_k")
+    ranked = salted_join(valued.select("_i", "_row", key), ranks.select(key, "_rank"), "_k").select("_k._g", "_i", "_row", "_k._m", (1.0 / (k + F.col("_rank"))).alias("t"))
+    terms = ranked.unionByName(tall.where("_v IS NULL").select("_g", "_i", "_row", "_m", F.lit(0.0).alias("t")))
     # summed in the order of the scores, as in the plain path, so that both give equal doubles
-    terms = tall.join(ranks, ["_g", "_m", "_v"], "left").groupBy("_g", "_i", "_row").agg(F.array_sort(F.collect_list(F.struct("_m", term.alias("t")))).alias("_terms"))
+    terms = terms.groupBy("_g", "_i", "_row").agg(F.array_sort(F.collect_list(F.struct("_m", "t"))).alias("_terms"))
     return terms.select("_g", "_i", F.aggregate("_terms", F.lit(0.0), lambda s, x: s + x["t"]).alias("_fused"))
 
 

@@ -139,6 +139,20 @@ def p5_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select(F.col("record").alias("product_id"), F.col("term").alias("note"), F.round("score", 6).alias("score")).join(listed, "note").select("product_id", "canonical_note", "score")
 
 
+@R.query(
+    "p5_repeats",
+    """WITH occ AS (SELECT n.product_id, t.canonical_note AS note, count(*) AS tf FROM notes_long n JOIN taxonomy_map t ON lower(trim(n.note_raw, ' ')) = t.canonical_note WHERE n.product_id IS NOT NULL GROUP BY 1, 2),
+total AS (SELECT count(DISTINCT product_id) AS n FROM occ), one AS (SELECT note, count(*) AS n FROM occ GROUP BY note), len AS (SELECT product_id, sum(tf)::BIGINT AS l FROM occ GROUP BY 1), mean AS (SELECT avg(l) AS m FROM len)
+SELECT occ.product_id, occ.note AS canonical_note, tf, round(ln(1 + (t.n - o.n + 0.5::DOUBLE) / (o.n + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)), 6) AS score
+FROM occ JOIN one o ON o.note = occ.note JOIN len ON len.product_id = occ.product_id CROSS JOIN total t CROSS JOIN mean""",
+)
+def p5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores if a note counts as often as it was typed for a product: its frequency saturates."""
+    notes, listed = counted_notes(spark, folder)
+    scores = term_relevance(notes, "product_id", "note")
+    return scores.select(F.col("record").alias("product_id"), F.col("term").alias("note"), "tf", F.round("score", 6).alias("score")).join(listed, "note").select("product_id", "canonical_note", "tf", "score")
+
+
 @R.query(
     "p6_found",
     """WITH best AS (SELECT product_id, neighbour_id, max(similarity) AS s FROM neighbours

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.baskets import CHUNK_ITEMS, bounded_baskets, totals
-from millrace.runtime import materialise, small
+from millrace.runtime import BROADCAST_ROWS, at_most, materialise, salted_join, small
 
 
-def term_relevance(df: DataFrame, record: str, term: str, k1: float = 1.2, b: float = 0.75, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
+def term_relevance(df: DataFrame, record: str, term: str, k1: float = 1.2, b: float = 0.75, chunk_items: int = CHUNK_ITEMS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Score of each term of each record by probabilistic relevance weighting.
 
     df has a row for each occurrence of a term in a record. Columns: record, term, tf, df (records
@@ -35,9 +35,9 @@ def term_relevance(df: DataFrame, record: str, term: str, k1: float = 1.2, b: fl
         .join(small(long), "_r", "left")
         .select("_r", F.coalesce("_total", "_own").alias("length"), F.explode("_items").alias("_x"))
         .select("_r", "length", F.col("_x.i").alias("_t"), F.col("_x.tf").alias("tf"))
-        .join(small(seen), "_t")
-        .crossJoin(F.broadcast(sums))  # one row
     )
+    # a term in every record is a hot key where the terms are too many to broadcast
+    rows = (rows.join(F.broadcast(seen), "_t") if at_most(seen, broadcast_rows) else salted_join(rows, seen, "_t")).crossJoin(F.broadcast(sums))  # one row
     n, d = F.col("n_records").cast("double"), F.col("df").cast("double")
     idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
     tf = F.col("tf").cast("double")

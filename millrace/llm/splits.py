@@ -14,6 +14,8 @@ from millrace.runtime import forget, materialise, materialised, require, salted_
 LARGE_SHARE = 1e-4
 #: Pools of small groups.
 POOLS = 2048
+#: Passes over the placed units, at most, in which they may move.
+MOVES = 20
 
 
 def bipartite_groups(links: DataFrame, record: str, entity: str) -> DataFrame:
@@ -39,14 +41,14 @@ def bipartite_groups(links: DataFrame, record: str, entity: str) -> DataFrame:
 
 
 def pair_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """As bipartite_groups, where each row of pairs is a record of two entities.
+    """The groups of bipartite_groups, where each row of pairs is a record that names two entities.
 
     A row with one side null or both sides equal ties nothing, but what it names is its own group.
     """
     src = require(pairs, [left, right]).toDF("_l", "_r")
-    ties = src.where("_l IS NOT NULL AND _r IS NOT NULL AND _l <> _r").select(F.greatest("_l", "_r").alias("_u"), F.least("_l", "_r").alias("_v")).distinct()
-    named = src.select(F.explode(F.array("_l", "_r")).alias("_e")).where("_e IS NOT NULL").distinct()
-    return _labels(ties, named)
+    records = src.select(F.least("_l", "_r").alias("_a"), F.greatest("_l", "_r").alias("_b")).where("_a IS NOT NULL").distinct()
+    links = records.select(F.struct("_a", "_b").alias("_r"), F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_e"))
+    return bipartite_groups(links, "_r", "_e")
 
 
 def _labels(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ def assign_splits(
     most 1 / large_share of them; the others are pooled by a hash of the group and the seed. The counts of
     these units by label, bounded whatever the data, go to the driver. There the units
     are placed from the largest down, each in the split that leaves the smallest sum of
-    squared deviations.
+    squared deviations, and then moved one by one as long as that makes the sum smaller, in at most MOVES passes.
 
     main names a label whose proportions count ten times as much as those of the others and stand for the number of records.
     Null labels are a label of their own; rows with a null group don't count. labels should be few (a bounded
@@ -132,20 +134,35 @@ def _place(counts: Sequence[tuple[str, str | None, int]], proportions: Mapping[s
         labels[label] = labels.get(label, 0) + n
     left = {s: {x: p * n for x, n in labels.items()} for s, p in proportions.items()}
     placed = {}
-    for unit, own in sorted(units.items(), key=lambda u: (-sum(u[1].values()), u[0])):
 
-        def cost(split: str, own: dict = own) -> float:
-            # how much the squared deviations, each relative to its label's size, and that of the whole size grow
-            gain = sum((10 if x == main else 1) * (n * n - 2 * n * left[split][x]) / max(1, labels[x]) ** (1 if main is None else 2) for x, n in own.items())
-            if main is not None:
-                return gain
-            size, room = sum(own.values()), sum(left[split].values())
-            return gain + (size * size - 2 * size * room) / max(1, sum(labels.values()))
+    def cost(split: str, own: dict) -> float:
+        # how much the squared deviations, each relative to its label's size, and that of the whole size grow
+        gain = sum((10 if x == main else 1) * (n * n - 2 * n * left[split][x]) / max(1, labels[x]) ** (1 if main is None else 2) for x, n in own.items())
+        if main is not None:
+            return gain
+        size, room = sum(own.values()), sum(left[split].values())
+        return gain + (size * size - 2 * size * room) / max(1, sum(labels.values()))
 
-        best = min((s for s in proportions if proportions[s] > 0), key=lambda s: (cost(s), list(proportions).index(s)))
+    for unit, own in sorted(units.items(), key=lambda u: (-sum(u[1].values()), u[0])):
+        best = min((s for s in proportions if proportions[s] > 0), key=lambda s: (cost(s, own), list(proportions).index(s)))
         placed[unit] = best
         for x, n in own.items():
             left[best][x] -= n
+
+    # then single units move as long as that brings the splits nearer to their proportions
+    for _ in range(MOVES):
+        moved = False
+        for unit, own in sorted(units.items(), key=lambda u: (sum(u[1].values()), u[0])):
+            now = placed[unit]
+            for x, n in own.items():
+                left[now][x] += n
+            best = min((s for s in proportions if proportions[s] > 0), key=lambda s: (cost(s, own), s != now))
+            for x, n in own.items():
+                left[best][x] -= n
+            moved |= best != now
+            placed[unit] = best
+        if not moved:
+            break
     return placed
 
 

@@ -188,7 +188,7 @@ def test_rank_fusion(spark, plain_group):
                     total += 1 / (60 + 1 + sum(1 for o in own if o[k] is not None and (o[k] > v if high else o[k] < v)))
             scored.append((-total, r[1]))
         want[group] = [i for _, i in sorted(scored)]
-    got = rank_fusion(df, "g", "i", {"a": True, "b": False}, plain_group=plain_group, slices=4)
+    got = rank_fusion(df, "g", "i", {"a": True, "b": False}, plain_group=plain_group, slice_rows=30)
     out = defaultdict(list)
     for x in got.orderBy("g", "place").collect():
         out[x.g].append(x.i)
@@ -197,6 +197,38 @@ def test_rank_fusion(spark, plain_group):
     assert rank_fusion(df.where("false"), "g", "i", {"a": True}).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 1500])
+def test_top_n_of_hot_groups(spark, n):
+    """A group of equal scores, one of copies, and one with a third of all rows; none is ranked by one task as a whole."""
+    rows = [(1, 0.5, i) for i in range(30_000)] + [(2, 1.0, 7)] * 20_000 + [(2, 0.5 - i / 1e6, i) for i in range(3_000)] + [(3 + i % 500, i / 7, i) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "g long, s double, i long")
+    got = {(x.g, x.place, x.i) for x in top_n(df, "g", "s", ["i"], n, plain_group=200).collect()}
+    best = {}
+    for g, s, i in rows:
+        best[g, i] = max(s, best.get((g, i), 0))
+    by = defaultdict(list)
+    for (g, i), s in best.items():
+        by[g].append((-s, i))
+    assert got == {(g, k, i) for g, own in by.items() for k, (_, i) in enumerate(sorted(own)[:n], 1)}
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    """A record, a term and a value that hold a third of all rows, on the paths for data that is too large to broadcast."""
+    from millrace import runtime
+
+    monkeypatch.setattr(runtime, "SALT_ROWS", 0)
+    rows = [(i, 0) for i in range(2_000)] + [(9_999, i) for i in range(2_000)] + [(i, i % 37) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "r long, t long")
+    plain = {(x.record, x.term): (x.df, x.score) for x in term_relevance(df, "r", "t", chunk_items=50).collect()}
+    assert plain == {(x.record, x.term): (x.df, x.score) for x in term_relevance(df, "r", "t", chunk_items=50, broadcast_rows=0).collect()}
+    scored = spark.createDataFrame([(1, i, 0.0 if i % 3 else None, float(i % 97)) for i in range(3_000)], "g long, i long, a double, b double")
+    by_slices, whole = (rank_fusion(scored, "g", "i", {"a": True, "b": True}, plain_group=p, slice_rows=100).select("i", "place", "fused").collect() for p in (10, 10_000))
+    assert sorted(by_slices) == sorted(whole)
+    pairs = spark.createDataFrame([(1, i) for i in range(400)] + [(r, i) for r in range(2, 100) for i in (r, r + 1)], "r long, i long")
+    chunked, plain = ({(x.item_a, x.item_b): x.n_both for x in cooccurrence(pairs, "r", "i", chunk_items=c).collect()} for c in (16, 512))
+    assert chunked == plain and len(plain) == 400 * 399 // 2
+
+
 def test_missing_column(spark):
     with pytest.raises(ValueError):
         top_n(spark.range(3).withColumn("s", F.lit(1.0)), "g", "s", [], 1)
