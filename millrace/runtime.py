@@ -170,6 +170,17 @@ def salted_join(big: DataFrame, other: DataFrame, key: str, how: str = "inner",
     return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"], how).drop("_salt")
 
 
+def dealt(df: DataFrame, by: Column, task_bytes: int = 4 << 20) -> DataFrame:
+    """df dealt over tasks by a hash, for work that costs much for each byte: about task_bytes of the planner's estimate a task.
+
+    The number is explicit, so adaptive execution doesn't put small partitions together again. No fewer than three tasks a core.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # rows of the driver's have no estimate
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, min(100_000, known // task_bytes)), by)
+
+
 def require(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The named columns only, so that extra columns can't clash with those made here."""
     missing = [n for n in names if n not in df.columns]
