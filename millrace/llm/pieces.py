@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import encoder, vocabulary_path
-from millrace.runtime import require, ship
+from millrace.runtime import dealt, require, ship
 
 #: Tokens of a piece at most, and tokens that consecutive pieces share.
 LIMIT, OVERLAP = 1_024, 64
@@ -38,12 +38,14 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, o
     Put together without the shared parts, the pieces are the text.
 
     Null and empty texts give no piece. Repeated rows and null ids come out as often as they stand. text is null unless with_text.
-    Texts of at most limit bytes have at most as many tokens and don't pass through Python.
+    Texts are dealt over the tasks by their hash, so that long ones that lie together in a file aren't one task's. A text that
+    can't be cut within the limit (its pieces would share more than the limit allows) is an error.
     """
     if not 0 <= overlap < limit - 4:
         raise ValueError("the overlap must be smaller than the limit, less the bytes of a character")
     ship(df.sparkSession)
     src = require(df, [id_col, text_col]).toDF("_id", "_text").where("_text IS NOT NULL AND _text <> ''")
+    src = dealt(src, F.xxhash64("_text", F.spark_partition_id()))
     kind = src.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, piece int, pieces int, start int, end int, n_tokens int, shared int, text string"
     out = src.mapInArrow(_split_rows(vocabulary_path(vocabulary), limit, overlap, with_text), schema)
@@ -98,13 +100,15 @@ def split(text: str, enc, limit: int, overlap: int) -> list[tuple[int, int, int,
     strong = np.where(whole, strength[char_at], -1)
 
     n = max(2, -(-(total - overlap) // (limit - overlap)))
-    while True:
+    while n <= total:
         cuts = _cuts(total, n, limit, overlap, strong, whole)
         if cuts:
             found = [(int(char_at[s]), int(char_at[e]), len(enc.encode_ordinary(text[char_at[s] : char_at[e]])), shared) for s, e, shared in cuts]
             if all(p[2] <= limit for p in found):
                 return found
-        n += 1
+        # each try is one piece more, and from many pieces on some more at once, so that the tries are few
+        n += max(1, n // 64)
+    raise ValueError(f"a text of {total} tokens can't be cut in pieces of {limit} that share {overlap}")
 
 
 def _cuts(total: int, n: int, limit: int, overlap: int, strong: np.ndarray, whole: np.ndarray) -> list[tuple[int, int, int]] | None:

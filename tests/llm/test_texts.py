@@ -176,3 +176,8 @@ def test_mixing_empty(spark):
     report = mix_sources(docs.where("false"), "id", "text", "src", targets).report.collect()
     assert len(report) == 4 and all(r.own_tokens == 0 and not r.short for r in report)
     assert mix_sources(docs, "id", "text", "src", targets.where("false")).report.count() == 0
+
+
+def test_text_that_cannot_be_cut():
+    with pytest.raises(ValueError):
+        split("👩‍👩‍👧" * 40, ENC, 5, 4)
