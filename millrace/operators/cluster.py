@@ -16,15 +16,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.runtime import ship
+from millrace.runtime import materialise, ship
 
 #: Rows of a matrix that may go to the driver.
 LIMIT = 5_000
+#: Cells of a contingency table that may go to the driver.
+CELLS = 1_000_000
 
 
 def kmeans(df: DataFrame, vector: str, k: int, seeds: Sequence[int] = range(10)) -> DataFrame:
     """Adds cluster: of one run a seed, the one of least cost."""
-    rows = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).persist()
+    rows = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     models = [KMeans(k=k, seed=s, featuresCol="_v", predictionCol="cluster").fit(rows) for s in seeds]
     best = min(models, key=lambda m: m.summary.trainingCost)
     out = best.transform(rows).drop("_v")
@@ -38,7 +40,8 @@ def gmm_bic(df: DataFrame, vector: str, ks: Sequence[int], kinds: Sequence[str]
     rests when its mean log-likelihood grows by less than tolerance. Starts are k-means labels of at most LIMIT rows chosen by hash; floor is added to
     variances, so components of fewer rows than dimensions stay finite. Rows without a vector don't count; ks above the number of rows are left out.
     """
-    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("_v")).where("_v IS NOT NULL").persist()
+    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("_v")).where("_v IS NOT NULL")
+    rows = materialise(rows)
     n = rows.count()
     start = np.array([r[0] for r in rows.orderBy(F.xxhash64(F.lit(seed), "_v"), "_v").limit(LIMIT).collect()], float)
     models = {}
@@ -149,10 +152,12 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> float:
-    """Mutual information less what chance gives, over the mean entropy less that. Works on the contingency table of labels, bounded by LIMIT cells a side."""
+    """Mutual information less what chance gives, over the mean entropy less that. Works on the contingency table of labels; refuses more than CELLS cells."""
     from math import lgamma
 
-    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).limit(LIMIT * LIMIT).collect()
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).limit(CELLS + 1).collect()
+    if len(cells) > CELLS:
+        raise ValueError(f"more than {CELLS} cells")
     left, right = {}, {}
     for r in cells:
         left[r[0]] = left.get(r[0], 0) + r["n"]

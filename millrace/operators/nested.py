@@ -89,6 +89,21 @@ class SchemaGraph:
                 reach[t] |= set().union(*[reach[s] for s in reach[t]]) if reach[t] else set()
         return {t for t in reach if t in reach[t]}
 
+    def known(self) -> dict[str, dict[tuple[str, ...], list[str]]]:
+        """Of each type with a table the members known of it and, by path, of the types inlined in it."""
+        own, out = set(self.tables()), {}
+        for t in own:
+            out[t] = {}
+
+            def visit(type_: str, path: tuple[str, ...], held: dict = out[t]) -> None:
+                held[path] = sorted(self.types[type_])
+                for name, m in self.types[type_].items():
+                    if m.kind != VALUE and m.type not in own:
+                        visit(m.type, (*path, name))
+
+            visit(t, ())
+        return out
+
     def tables(self) -> dict[str, Plan]:
         """Shared inlining: the root and every type that is repeated, shared or recursive has a table; the others are inlined in what holds them."""
         edges = self._edges()
@@ -126,6 +141,17 @@ class Shredded:
 
     nodes: DataFrame
     plans: dict[str, Plan]
+    known: dict[str, dict[tuple[str, ...], list[str]]] = field(default_factory=dict)
+
+    def rest(self) -> DataFrame:
+        """Members that the graph doesn't know, of every object of a type: key, id, parent (the element that has them), place, pos, member, json."""
+        out = []
+        for type_, held in self.known.items():
+            for path, names in held.items():
+                out.append(F.when((F.col("type") == type_), _unknown(path, names)))
+        members = F.flatten(F.filter(F.array(*out), lambda x: x.isNotNull()))
+        rows = self.nodes.select("key", "id", "parent", "place", "pos", F.inline(members))
+        return rows.select("key", F.col("id").alias("parent"), "place", "pos", "member", "json")
 
     def table(self, type_: str) -> DataFrame:
         """The flat table of a type: key, id, parent, place, pos and its inlined columns. Elements that aren't objects are in rejects."""
@@ -138,6 +164,13 @@ class Shredded:
         return self.nodes.where(~is_object(F.col("v"))).select("key", "id", "parent", "place", "pos", F.when(~F.is_variant_null("v"), F.to_json("v")).alias("json"))
 
 
+def _unknown(path: tuple[str, ...], names: list[str]) -> Column:
+    """The members of the object at path whose names aren't listed, as (member, json); the member is named with its path."""
+    held = F.map_filter(F.try_variant_get("v", json_path(path), "map<string,variant>"), lambda k, v: ~k.isin(names))
+    pairs = F.transform(F.array_sort(F.map_keys(held)), lambda k: F.struct(F.concat(F.lit("".join(f"{p}." for p in path)), k).alias("member"), k.alias("_k")))
+    return F.transform(pairs, lambda x: F.struct(x["member"].alias("member"), F.to_json(F.element_at(held, x["_k"])).alias("json")))
+
+
 def _free(name: str) -> str:
     return name + "_" if name in ("key", "id", "parent", "place", "pos") else name
 
@@ -167,7 +200,7 @@ def latest(df: DataFrame, key: str, at: str, payload: str) -> DataFrame:
     return once.unionByName(more).toDF(key, payload)
 
 
-def shred(df: DataFrame, key: str, record: str, graph: SchemaGraph) -> Shredded:
+def shred(df: DataFrame, key: str, record: str, graph: SchemaGraph, rest: bool = False) -> Shredded:
     """Records of JSON text as flat tables by shared inlining.
 
     Each text is parsed once, in one pass over df, and all elements of all repeated places come out of that
@@ -176,13 +209,13 @@ def shred(df: DataFrame, key: str, record: str, graph: SchemaGraph) -> Shredded:
 
     A text that isn't valid JSON, or null, gives no rows. A missing or null member gives none below it. An object where
     an array is expected is its element 0. An element that isn't an object is kept in rejects. Members
-    that the graph doesn't know are left out. A null key is kept.
+    that the graph doesn't know are in Shredded.rest(); those of the record itself only if rest is set, as each record is then carried whole. A null key is kept.
     """
     plans = graph.tables()
     root = plans[graph.root]
     src = require(df, [key, record]).toDF("key", "_record")
     parsed = src.select("key", F.try_parse_json("_record").alias("v"))  # not filtered: a filter would parse once more
-    own = F.struct(F.lit(graph.root).alias("type"), F.lit("").alias("place"), F.lit(0).alias("pos"), _slim(root).alias("v"))
+    own = F.struct(F.lit(graph.root).alias("type"), F.lit("").alias("place"), F.lit(0).alias("pos"), (F.col("v") if rest else _slim(root)).alias("v"))
     found = parsed.select("key", F.inline(F.concat(F.when(F.col("v").isNotNull(), F.array(own)).otherwise(F.array().cast(_ELEMENTS)), *[_elements(path, m) for path, m in root.children])))
     ids = F.when(F.col("place") == "", "").otherwise(F.concat("place", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
     nodes = level = found.select("key", "type", "place", "pos", ids.alias("id"), F.when(F.col("place") != "", "").alias("parent"), "v")
@@ -197,7 +230,7 @@ def shred(df: DataFrame, key: str, record: str, graph: SchemaGraph) -> Shredded:
             at = at.select("key", "type", "place", "pos", F.concat("parent", F.lit("."), "place", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("id"), "parent", "v")
             below = at if below is None else below.unionByName(at)
         nodes, level = nodes.unionByName(below), below
-    return Shredded(nodes, plans)
+    return Shredded(nodes, plans, graph.known())
 
 
 def _slim(plan: Plan) -> Column:

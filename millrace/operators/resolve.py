@@ -44,10 +44,14 @@ def compound_evidence(pairs: DataFrame, tokens: DataFrame, token: str, least: in
 
 
 def banded_pairs(tokens: DataFrame, token: str, band: int = 4) -> DataFrame:
-    """short, long, distance: distinct tokens of equal first character and lengths at most band apart."""
+    """short, long, distance: distinct tokens of equal first character and lengths at most band apart.
+
+    Tokens meet by first character and length, the one side once for each length within the band, so that a frequent letter isn't one key.
+    """
     t = tokens.select(token).where(F.length(token) > 0).distinct()
-    side = lambda n: t.select(F.col(token).alias(n), F.substring(token, 1, 1).alias("_k"))
-    rows = side("_x").join(side("_y"), "_k").where((F.col("_x") < F.col("_y")) & (F.abs(F.length("_x") - F.length("_y")) <= band))
+    first, size = F.substring(token, 1, 1).alias("_k"), F.length(token)
+    lengths = F.explode(F.sequence(F.greatest(F.lit(1), size - band), size + band)).alias("_n")
+    rows = t.select(F.col(token).alias("_x"), first, size.alias("_n")).join(t.select(F.col(token).alias("_y"), first, lengths), ["_k", "_n"]).where(F.col("_x") < F.col("_y"))
     return _ordered(rows).withColumn("distance", F.levenshtein("short", "long"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import gloss, token
@@ -12,6 +12,8 @@ from millrace.operators.ranking import average_rank, joined_top, nearest_rank, t
 from millrace.operators.signals import null_if_zero
 from millrace.plans import Registry, table
 from millrace.plans.records import _NODES, RECORD
+from millrace.runtime import materialise, new_path, prepared, small
+from millrace.sources import read_json_lines
 
 R = Registry()
 
@@ -24,7 +26,15 @@ TIERS = {"top": 0, "middle": 1, "base": 2, "flat": 3}
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each record: scalars, vote groups that are null where nobody voted, number of notes, population flag."""
+    """One row for each record: scalars, vote groups that are null where nobody voted, number of notes, population flag.
+
+    The first query of a session that needs it writes the table, the others read it.
+    """
+    return prepared(spark, "products", [f"{folder}/perfumes.parquet"], lambda: flattened(spark, folder))
+
+
+def flattened(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of products from the raw records, each parsed once."""
     src = table(spark, folder, "perfumes")
     payload = F.struct("record", "brand", "year", "gender", "people", "rating_average")
     rows = latest(src.select("id", "scraped_at", payload.alias("row")), "id", "scraped_at", "row").select("id", "row.*")
@@ -36,10 +46,12 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
     votes = {m: F.try_variant_get("v", json_path(("relation", m)), "bigint") for m in RELATION} | {m: F.try_variant_get("v", json_path(("seasons", m)), "bigint") for m in SEASONS}
     tiered = usable("notes.tiered.top", "name") + usable("notes.tiered.middle", "name") + usable("notes.tiered.base", "name")
-    rows = rows.where(F.col("v").isNotNull()).select(
+    made = F.struct(
         F.col("id").alias("product_id"), "brand", "year", "gender", "people", "rating_average", *[c.alias(n) for n, c in votes.items()], tiered.alias("_tiered"), usable("notes.flat", "name").alias("_flat"),
         usable("ai_summary.pros", "text").alias("n_pros"), usable("ai_summary.cons", "text").alias("n_cons"),
     )
+    # not filtered: a filter would parse once more
+    rows = rows.select(F.inline(F.filter(F.array(F.when(F.col("v").isNotNull(), made)), lambda x: x.isNotNull())))
     rows = null_if_zero(rows, {"relation": RELATION, "seasons": SEASONS})
     rows = rows.withColumn("n_notes", F.when(F.col("_tiered") > 0, F.col("_tiered")).otherwise(F.col("_flat")).cast("bigint")).drop("_tiered", "_flat")
     voted = F.coalesce(*[F.col(c) for c in (*RELATION, *SEASONS)]).isNotNull()
@@ -76,7 +88,7 @@ def token_map(spark: SparkSession, folder: str) -> DataFrame:
 def product_notes(spark: SparkSession, folder: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Distinct products and canonical notes, by the token map."""
     rows = table(spark, folder, "notes_long").where("product_id IS NOT NULL").select("product_id", *extra, token(F.col("note_raw")).alias("raw_token"))
-    return rows.join(F.broadcast(token_map(spark, folder)), "raw_token").select("product_id", "note", *extra).distinct()
+    return rows.join(small(token_map(spark, folder)), "raw_token").select("product_id", "note", *extra).distinct()
 
 
 _TOKEN = r"trim(regexp_replace(replace(lower(regexp_replace(note_raw, '\([^)]*\)', '', 'g')), '-', ' '), '[\s\p{Z}]+', ' ', 'g'))"
@@ -89,17 +101,23 @@ FAMILY = f"""{NOTES}, fam AS (SELECT product_id, cluster, count(*)::DOUBLE / sum
 
 def membership(spark: SparkSession, folder: str) -> DataFrame:
     """product_id, cluster, share: how much of a product's notes is of each family; shares of a product add up to 1."""
+    return prepared(spark, "membership", [f"{folder}/{t}.parquet" for t in ("notes_long", "note_normalisation", "taxonomy_map")], lambda: _membership(spark, folder))
+
+
+def _membership(spark: SparkSession, folder: str) -> DataFrame:
     notes = product_notes(spark, folder)
-    listed = F.broadcast(table(spark, folder, "taxonomy_map").select(F.col("canonical_note").alias("note"), "cluster"))  # of fixed size
+    listed = small(table(spark, folder, "taxonomy_map").select(F.col("canonical_note").alias("note"), "cluster"))  # of fixed size
     counts = notes.join(listed, "note").groupBy("product_id", "cluster").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     # families are few, so a product has few rows here
     return counts.select("product_id", "cluster", (F.col("_n") / F.sum("_n").over(Window.partitionBy("product_id"))).alias("share"))
 
 
 def accords(spark: SparkSession, folder: str) -> DataFrame:
     """product_id, accord, strength."""
+    return prepared(spark, "accords", [f"{folder}/perfumes.parquet"], lambda: _accords(spark, folder))
+
+
+def _accords(spark: SparkSession, folder: str) -> DataFrame:
     rows = shred(latest(table(spark, folder, "perfumes"), "id", "scraped_at", "record"), "id", "record", RECORD).table("accord")
     return rows.select(F.col("key").alias("product_id"), F.col("name").alias("accord"), "strength").where("accord IS NOT NULL")
 
@@ -111,6 +129,10 @@ ACCORDS = """acc AS (SELECT product_id, el->>'$.name' AS accord, TRY_CAST(el->>'
 
 def claims(spark: SparkSession, folder: str) -> DataFrame:
     """product_id, polarity, text, up_votes, down_votes."""
+    return prepared(spark, "claims", [f"{folder}/perfumes.parquet"], lambda: _claims(spark, folder))
+
+
+def _claims(spark: SparkSession, folder: str) -> DataFrame:
     rows = shred(latest(table(spark, folder, "perfumes"), "id", "scraped_at", "record"), "id", "record", RECORD).table("claim")
     return rows.select(F.col("key").alias("product_id"), F.element_at(F.split("place", r"\."), 2).alias("polarity"), "text", "up_votes", "down_votes")
 
@@ -130,14 +152,9 @@ def flat_products(spark, folder):
 @R.query("jsonl_scan", "SELECT count(*) AS n_rows, (count(*) FILTER (NOT json_valid(record))) AS n_bad FROM perfumes WHERE record IS NOT NULL AND trim(record) <> ''")
 def jsonl_scan(spark, folder):
     """JSON lines read back from text, bad lines counted."""
-    from millrace.runtime import scratch
-    from millrace.sources import read_json_lines
-
-    import uuid
-
-    path = f"{scratch(spark)}/millrace/{uuid.uuid4().hex}"
+    path = new_path(spark)
     table(spark, folder, "perfumes").select(F.regexp_replace("record", r"[\r\n]", " ").alias("value")).where("value IS NOT NULL AND trim(value) <> ''").write.text(path)
-    rows = read_json_lines(spark, path, "id STRING").persist()  # Spark refuses a query of the bad lines alone on the raw file
+    rows = materialise(read_json_lines(spark, path, "id STRING"))  # Spark refuses a query of the bad lines alone on the raw file
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("n_bad"))
 
 
@@ -253,7 +270,7 @@ def placeholder_tokens(spark, folder):
 def unmapped_tokens(spark, folder):
     """Tokens that the map doesn't have: an anti-join."""
     rows = table(spark, folder, "notes_long").where("product_id IS NOT NULL").select(token(F.col("note_raw")).alias("raw_token")).where("raw_token <> ''")
-    return rows.join(F.broadcast(token_map(spark, folder)), "raw_token", "left_anti").groupBy("raw_token").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(small(token_map(spark, folder)), "raw_token", "left_anti").groupBy("raw_token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.query("note_prevalence", f"WITH {NOTES} SELECT note, count(DISTINCT product_id) AS n_products FROM pn GROUP BY 1")
@@ -313,7 +330,7 @@ def dominant_family(spark, folder):
 )
 def family_top_notes(spark, folder):
     """The five most frequent notes of each family as a string."""
-    listed = F.broadcast(table(spark, folder, "taxonomy_map").select(F.col("canonical_note").alias("note"), "cluster"))
+    listed = small(table(spark, folder, "taxonomy_map").select(F.col("canonical_note").alias("note"), "cluster"))
     counts = product_notes(spark, folder).join(listed, "note").groupBy("cluster", "note").agg(F.count(F.lit(1)).alias("n"))
     return joined_top(counts, "cluster", "note", [F.desc("n"), F.asc("note")], 5, "top_notes")
 

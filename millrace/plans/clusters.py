@@ -15,7 +15,8 @@ from millrace.operators import resolve as E
 from millrace.plans import Registry, table
 from millrace.plans.catalogue import _TYPED, PLACEHOLDERS, product_notes
 from millrace.plans.similarity import _PPMI, counts, ppmi
-from millrace.runtime import materialise
+from millrace.runtime import materialise, scratch
+from millrace.sources import cached_vectors
 
 R = Registry()
 
@@ -42,7 +43,12 @@ def prefix_block_pairs(spark, folder):
     return E.prefix_pairs(tokens(spark, folder), "t")
 
 
-@R.query("compound_evidence")
+@R.query(
+    "compound_evidence",
+    f"""WITH {_TOK}, p AS (SELECT DISTINCT {_ORDERED} FROM tok a JOIN tok b ON substr(a.t, 1, 3) = substr(b.t, 1, 3) AND a.t <> b.t AND contains(b.t, a.t) WHERE length(a.t) >= 3),
+r AS (SELECT short, long, trim(substr(long, 1, instr(long, short) - 1) || substr(long, instr(long, short) + length(short)), ' ') AS remainder FROM p)
+SELECT short, long, remainder, (length(short) >= 5 AND length(short)::DOUBLE / length(long) >= 0.5 AND length(remainder) >= 2 AND remainder NOT IN (SELECT t FROM tok)) AS merges FROM r""",
+)
 def compound_evidence(spark, folder):
     """Which of those mean the same."""
     t = tokens(spark, folder)
@@ -120,6 +126,13 @@ def mutual_information(spark, folder):
     return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
 
 
+@R.query("ami_counts", f"WITH {_LAB}, c AS (SELECT cluster, label, count(*) AS n FROM lab GROUP BY 1, 2) SELECT count(*) AS n_cells, sum(n)::BIGINT AS n_rows, count(DISTINCT cluster) AS n_a, count(DISTINCT label) AS n_b, sum(n * n)::BIGINT AS squares FROM c")
+def ami_counts(spark, folder):
+    """What the adjusted index is worked out from: the contingency table's size and sums."""
+    c = labelled(spark, folder).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    return c.agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n_rows"), F.countDistinct("cluster").alias("n_a"), F.countDistinct("label").alias("n_b"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+
+
 @R.query("ami")
 def ami(spark, folder):
     """Adjusted mutual information."""
@@ -203,9 +216,10 @@ def graph_stats(spark, folder):
 
 def _embedded(spark, folder) -> tuple[list, np.ndarray]:
     """Notes and their 50 dimensions from the association matrix, of bounded vocabulary."""
-    pairs = ppmi(spark, folder).persist()
     names = [r["note"] for r in product_notes(spark, folder).select("note").distinct().orderBy("note").limit(C.LIMIT + 1).collect()]
-    return names, C.svd_embedding(C.square(pairs, "a", "b", "ppmi", names), 50)
+    # one table of vectors for all queries of the session; it is only taken if it is of this very vocabulary
+    inputs = [f"{folder}/{t}.parquet" for t in ("notes_long", "note_normalisation")]
+    return names, cached_vectors(spark, f"{scratch(spark)}/millrace/note_vectors", names, inputs, lambda: C.svd_embedding(C.square(ppmi(spark, folder), "a", "b", "ppmi", names), 50))
 
 
 @R.query("svd_embedding")
@@ -268,6 +282,29 @@ def alternative_clusterings(spark, folder):
     return out.join(sizes, "algorithm").withColumn("degenerate", F.col("largest_share") >= 0.8)
 
 
+@R.query("som_map")
+def som_map(spark, folder):
+    """Each cell of a self-organising map of the notes: its notes, its mean distance to the cells beside it, and the map's quantisation error."""
+    names, points = _embedded(spark, folder)
+    side = 6
+    cells, ridges, error = C.self_organising_map(points, side, side)
+    held = np.bincount(cells, minlength=side * side)
+    return spark.createDataFrame([(i // side, i % side, int(held[i]), float(ridges[i]), error) for i in range(side * side)], "row int, col int, n_notes int, ridge double, quantisation_error double")
+
+
+@R.query("family_nesting")
+def family_nesting(spark, folder):
+    """Whether families lie within the five groups of the best linkage: each family's main group and purity; degenerate where one group holds four fifths."""
+    names, points = _embedded(spark, folder)
+    d = np.sqrt(np.maximum(0, (points**2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * points @ points.T))
+    trees = {m: C.linkage(d, m) for m in ("single", "complete", "average", "ward")}
+    best = max(trees, key=lambda m: C.cophenetic(trees[m], d))
+    groups = C.cut(trees[best], 5)
+    flat = bool(np.bincount(groups).max() >= 0.8 * len(groups))
+    rows = spark.createDataFrame([(int(f), int(g)) for f, g in zip(C.lloyd(points, 15), groups, strict=True)], "family int, super_group int")
+    return A.purity(rows, "family", "super_group").select("family", F.col("mode").alias("super_group"), F.col("size").alias("n_notes"), "purity", F.lit(best).alias("linkage"), F.lit(flat).alias("degenerate"))
+
+
 @R.query("bootstrap_stability")
 def bootstrap_stability(spark, folder, runs: int = 20, ks=(8, 10, 12, 15, 18, 20, 25), dimensions: int = 50):
     """Agreement of families over resampled products for each k: each product counts as often as drawn, once on the pair."""

@@ -12,12 +12,76 @@ from millrace.operators import signals as S
 from millrace.operators.ranking import top_per_group
 from millrace.plans import Registry, table
 from millrace.plans.catalogue import ACCORDS, CLAIMS, FAMILY, PRODUCTS, SEASONS, _REC, accords, claims, membership, product_notes, products
-from millrace.runtime import materialise
+from millrace.runtime import materialise, small
 
 R = Registry()
 
 LEAST_BRAND = 5
 EARLY, LATE = (2014, 2018), (2019, 2024)
+#: Accords of a family that name it, and products of the population that an accord must have (100 where a population has 32,000; those of the test tables start below 1,000).
+TOP_ACCORDS, ACCORD_SUPPORT = 5, 20
+#: Words of accords and the forms in which claims name them.
+SYNONYMS = {
+    "sour": ("sour", "sourness"),
+    "aquatic": ("aquatic", "aqua"),
+    "tropical": ("tropical", "tropics"),
+    "ozonic": ("ozonic", "ozone"),
+    "floral": ("floral", "flowery", "flower", "flowers"),
+    "camphor": ("camphor", "camphorous"),
+    "cannabis": ("cannabis", "weed", "hemp"),
+    "bitter": ("bitter", "bitterness"),
+    "conifer": ("conifer", "pine", "pines"),
+    "herbal": ("herbal", "herbaceous", "herbs", "herb"),
+    "balsamic": ("balsamic", "balsam", "balsamy"),
+    "rum": ("rum",),
+    "mineral": ("mineral", "minerally", "minerals"),
+    "vanilla": ("vanilla", "vanillic"),
+    "almond": ("almond", "almondy"),
+    "tuberose": ("tuberose",),
+    "earthy": ("earthy", "earth", "earthiness"),
+    "iris": ("iris", "orris"),
+    "patchouli": ("patchouli",),
+    "soapy": ("soapy", "soap", "soapiness"),
+    "lavender": ("lavender", "lavandin"),
+    "violet": ("violet", "violets"),
+    "cherry": ("cherry", "cherries"),
+    "lactonic": ("lactonic", "creamy", "milky", "cream"),
+    "nutty": ("nutty", "nut", "nuts"),
+    "caramel": ("caramel", "caramelized", "caramelised"),
+    "rose": ("rose", "rosy", "roses"),
+    "musky": ("musky", "musk", "musks"),
+    "aldehydic": ("aldehydic", "aldehyde", "aldehydes"),
+    "oud": ("oud", "agarwood"),
+    "animalic": ("animalic", "animal", "animalistic"),
+    "smoky": ("smoky", "smoke", "smokey", "smokiness"),
+    "leather": ("leather", "leathery"),
+    "whiskey": ("whiskey", "whisky", "bourbon"),
+    "cacao": ("cacao", "cocoa"),
+    "coffee": ("coffee", "espresso"),
+    "honey": ("honey", "honeyed"),
+    "terpenic": ("terpenic", "terpene", "terpenes"),
+    "savory": ("savory", "savoury"),
+    "chocolate": ("chocolate", "chocolatey", "chocolaty"),
+    "metallic": ("metallic", "metal", "metals"),
+    "coconut": ("coconut", "coconutty"),
+    "salty": ("salty", "salt", "saline"),
+    "anis": ("anis", "anise", "licorice", "liquorice"),
+    "tobacco": ("tobacco",),
+    "yellow": ("yellow",),
+    "warm": ("warm", "warmth"),
+    "spicy": ("spicy", "spice", "spices"),
+    "white": ("white",),
+    "fresh": ("fresh", "freshness"),
+    "sweet": ("sweet", "sweetness"),
+    "woody": ("woody", "wood", "woods"),
+    "citrus": ("citrus", "citrusy", "citric"),
+    "powdery": ("powdery", "powder"),
+    "aromatic": ("aromatic", "aroma"),
+    "fruity": ("fruity", "fruit", "fruits"),
+    "amber": ("amber", "ambery"),
+    "green": ("green", "greenery"),
+    "gourmand": ("gourmand", "gourmet"),
+}
 #: Words of claims and what they stand for.
 VOCABULARY = {"sweet": "sweet|honeyed|creamy", "fresh": "fresh|airy|clean|bright", "dark": "dark|smoky|dusty|dense", "soft": "soft|quiet|plush|pale"}
 
@@ -32,8 +96,7 @@ dem AS (SELECT s.*, b.brand IS NOT NULL AS is_demeaned, CASE WHEN b.brand IS NOT
 
 
 def population(spark, folder) -> DataFrame:
-    """Written down: several passes read it, and the records shouldn't be parsed for each."""
-    return materialise(products(spark, folder).where("in_population").drop("n_pros", "n_cons"))
+    return products(spark, folder).where("in_population").drop("n_pros", "n_cons")
 
 
 def demand(spark, folder, fallback: bool = True, inside: DataFrame | None = None) -> DataFrame:
@@ -113,7 +176,7 @@ def yearly_shares(spark, folder) -> DataFrame:
 @R.query("supply_by_year", f"{_YEARLY} SELECT year, cluster, cluster_name, round(supply_share, 6) AS supply_share FROM y LEFT JOIN (SELECT DISTINCT cluster, cluster_name FROM taxonomy_map) USING (cluster)")
 def supply_by_year(spark, folder):
     """Families' shares of each year's products, with their names."""
-    names = F.broadcast(table(spark, folder, "taxonomy_map").select("cluster", "cluster_name").distinct())  # of fixed size
+    names = small(table(spark, folder, "taxonomy_map").select("cluster", "cluster_name").distinct())
     return yearly_shares(spark, folder).join(names, "cluster", "left").select("year", "cluster", "cluster_name", *_r("supply_share"))
 
 
@@ -155,14 +218,69 @@ def sentiment_regex(spark, folder):
     return sums.withColumn("polarity", F.round(S.polarity("positive", "negative"), 6))
 
 
-_SCORE = f"""{_FAMILY_SIGNALS},
+_ACC = f"{_REC}, {ACCORDS}, ap AS (SELECT DISTINCT product_id, accord FROM acc)"
+_VALID = f"""{ACCORDS}, apop AS (SELECT DISTINCT product_id, lower(accord) AS accord FROM acc SEMI JOIN (SELECT product_id FROM products WHERE in_population) USING (product_id)), mpop AS (SELECT * FROM fam SEMI JOIN (SELECT product_id FROM products WHERE in_population) USING (product_id)),
+asz AS (SELECT accord, count(*) AS n FROM apop SEMI JOIN mpop USING (product_id) GROUP BY 1 HAVING count(*) >= {ACCORD_SUPPORT}), fsz AS (SELECT cluster, sum(share) AS w FROM mpop GROUP BY 1), tsz AS (SELECT count(DISTINCT product_id) AS n FROM mpop),
+val AS (SELECT cluster, accord, sum(share) / w AS mention_rate, asz.n::DOUBLE / tsz.n AS base_rate FROM mpop JOIN apop USING (product_id) JOIN asz USING (accord) JOIN fsz USING (cluster) CROSS JOIN tsz GROUP BY cluster, accord, w, asz.n, tsz.n),
+top AS (SELECT *, mention_rate / base_rate AS lift, row_number() OVER (PARTITION BY cluster ORDER BY round(mention_rate / base_rate, 9) DESC, accord)::INT AS rank FROM val QUALIFY rank <= {TOP_ACCORDS})"""
+_SAID = f"""{_VALID}, syn(word, forms) AS (VALUES {", ".join(f"('{w}', '{'|'.join(f)}')" for w, f in SYNONYMS.items())}),
+wd AS (SELECT DISTINCT cluster, unnest(string_split(accord, ' ')) AS word FROM top), pat AS (SELECT cluster, string_agg(coalesce(forms, regexp_escape(word)), '|') AS p FROM wd LEFT JOIN syn USING (word) GROUP BY 1),
+cl AS (SELECT split_part(path, '.', 2) AS polarity, val AS text, greatest(coalesce(TRY_CAST(el->>'$.up_votes' AS BIGINT), 0) - coalesce(TRY_CAST(el->>'$.down_votes' AS BIGINT), 0), 0) AS weight FROM nodes SEMI JOIN (SELECT product_id FROM products WHERE in_population AND has_ai_summary) USING (product_id) WHERE path LIKE 'ai_summary.%'),
+hi AS (SELECT cluster, polarity, weight FROM cl JOIN pat ON regexp_matches(text, '(?i)\\b(' || p || ')\\b')),
+sd AS (SELECT cluster, count(*) FILTER (polarity = 'pros') AS n_pro, count(*) FILTER (polarity = 'cons') AS n_con, coalesce(sum(weight) FILTER (polarity = 'pros'), 0)::BIGINT AS positive, coalesce(sum(weight) FILTER (polarity = 'cons'), 0)::BIGINT AS negative FROM pat LEFT JOIN hi USING (cluster) GROUP BY 1)"""
+
+
+def validation(spark, folder) -> DataFrame:
+    """cluster, accord, mention_rate, base_rate, lift, rank: a family's accords of greatest lift in the population, of accords that are not too rare."""
+    inside = products(spark, folder).where("in_population").select("product_id")
+    member = membership(spark, folder).join(inside, "product_id", "left_semi")
+    said = accords(spark, folder).join(inside, "product_id", "left_semi").select("product_id", F.lower("accord").alias("accord")).distinct()
+    n = member.agg(F.countDistinct("product_id").alias("_all"))
+    base = said.join(member.select("product_id"), "product_id", "left_semi").groupBy("accord").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= ACCORD_SUPPORT)
+    sizes = member.groupBy("cluster").agg(F.sum("share").alias("_w"))
+    rates = member.join(said, "product_id").groupBy("cluster", "accord").agg(F.sum("share").alias("_s")).join(base, "accord").join(sizes, "cluster").crossJoin(F.broadcast(n))  # one row
+    rates = rates.select("cluster", "accord", (F.col("_s") / F.col("_w")).alias("mention_rate"), (F.col("_n") / F.col("_all")).alias("base_rate")).withColumn("lift", F.col("mention_rate") / F.col("base_rate"))
+    return top_per_group(rates, ["cluster"], [F.desc(F.round("lift", 9)), F.asc("accord")], TOP_ACCORDS)
+
+
+@R.query("family_validation", f"{PRODUCTS}, {FAMILY}, {_VALID} SELECT cluster, accord, rank, round(mention_rate, 6) AS mention_rate, round(base_rate, 6) AS base_rate, round(lift, 6) AS lift FROM top")
+def family_validation(spark, folder):
+    """Five accords that stand with each family most above chance."""
+    return validation(spark, folder).select("cluster", "accord", "rank", *_r("mention_rate", "base_rate", "lift"))
+
+
+def family_said(spark, folder) -> DataFrame:
+    """cluster, n_pro, n_con, positive, negative, net, polarity: what claims of the population that name a word of a family's accords weigh for and against.
+
+    A family's words are those of its accords with their forms; families are few, so their patterns are broadcast. A claim counts once for a family,
+    with its votes for it less those against, at least 0. The polarity is null where nothing weighs.
+    """
+    forms = spark.createDataFrame([(w, "|".join(map(re.escape, f))) for w, f in SYNONYMS.items()], "word string, forms string")
+    words = validation(spark, folder).select("cluster", F.explode(F.split("accord", " ")).alias("word")).distinct().join(F.broadcast(forms), "word", "left")  # a fixed list
+    own = F.coalesce("forms", F.regexp_replace("word", r"([^\p{L}\p{N}])", r"\\$1"))
+    patterns = materialise(words.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_set(own)), "|").alias("pattern")))
+    inside = products(spark, folder).where("in_population AND has_ai_summary").select("product_id")
+    said = claims(spark, folder).join(inside, "product_id", "left_semi").withColumn("weight", F.greatest(F.coalesce("up_votes", F.lit(0)) - F.coalesce("down_votes", F.lit(0)), F.lit(0)))
+    hits = said.join(small(patterns), any_word(F.col("text"), F.col("pattern")))
+    pro, con = F.col("polarity") == "pros", F.col("polarity") == "cons"
+    sums = hits.groupBy("cluster").agg(F.count_if(pro).alias("n_pro"), F.count_if(con).alias("n_con"), F.sum(F.when(pro, F.col("weight")).otherwise(0)).alias("positive"), F.sum(F.when(con, F.col("weight")).otherwise(0)).alias("negative"))
+    sums = patterns.select("cluster").join(sums, "cluster", "left").na.fill(0, ["n_pro", "n_con", "positive", "negative"])
+    return sums.withColumns({"net": F.col("positive") - F.col("negative"), "polarity": S.polarity("positive", "negative")})
+
+
+@R.query("family_sentiment", f"{PRODUCTS}, {FAMILY}, {_SAID} SELECT cluster, n_pro, n_con, positive, negative, positive - negative AS net, round((positive - negative)::DOUBLE / nullif(positive + negative, 0), 6) AS polarity FROM sd")
+def family_sentiment(spark, folder):
+    """What claims say of each family, for and against, by votes."""
+    return family_said(spark, folder).withColumn("polarity", F.round("polarity", 6))
+
+
+_SCORE = f"""{_FAMILY_SIGNALS}, {_SAID},
 y AS (SELECT year, cluster, sum(share) / sum(sum(share)) OVER (PARTITION BY year) AS supply_share FROM fam JOIN products USING (product_id) WHERE in_population GROUP BY 1, 2),
 mo AS (SELECT cluster, {_mean(LATE)} - {_mean(EARLY)} AS momentum FROM y GROUP BY 1),
 su AS (SELECT cluster, sum(share) / sum(sum(share)) OVER () AS supply_share FROM fam JOIN products USING (product_id) WHERE in_population GROUP BY 1),
-se AS (SELECT cluster, (sum(n_pros * share) - sum(n_cons * share)) / nullif(sum(n_pros * share) + sum(n_cons * share), 0) AS polarity FROM fam JOIN (
-  SELECT product_id, count(*) FILTER (path = 'ai_summary.pros') AS n_pros, count(*) FILTER (path = 'ai_summary.cons') AS n_cons FROM nodes WHERE val IS NOT NULL AND regexp_matches(val, '[^\\s]') GROUP BY 1) USING (product_id) GROUP BY 1),
+se AS (SELECT cluster, (positive - negative)::DOUBLE / nullif(positive + negative, 0) AS polarity FROM sd),
 al AS (SELECT fd.cluster, approval_demeaned, desire_demeaned, polarity, supply_share, momentum, row_number() OVER (ORDER BY supply_share DESC, fd.cluster) = 1 AS backbone
-  FROM fd JOIN mo USING (cluster) JOIN su USING (cluster) JOIN se USING (cluster)),
+  FROM fd JOIN mo USING (cluster) JOIN su USING (cluster) LEFT JOIN se USING (cluster)),
 zs AS (SELECT cluster, {", ".join(f"({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0) AS z_{c}" for c in ("approval_demeaned", "desire_demeaned", "polarity", "supply_share", "momentum"))} FROM al WHERE NOT backbone),
 sc AS (SELECT *, z_approval_demeaned + z_desire_demeaned + z_polarity - z_supply_share + 0.5::DOUBLE * z_momentum AS score, z_approval_demeaned + z_desire_demeaned - z_supply_share + 0.5::DOUBLE * z_momentum AS plain FROM zs)
 """
@@ -171,12 +289,12 @@ _PARTS = {"approval_demeaned": 1.0, "desire_demeaned": 1.0, "polarity": 1.0, "su
 
 def composite(spark, folder) -> DataFrame:
     """Families with their z-scores and score; the family of greatest supply is the backbone and isn't scored."""
-    member, held = materialise(membership(spark, folder)), materialise(products(spark, folder))
+    member, held = membership(spark, folder), products(spark, folder)
     inside = member.join(held.where("in_population").select("product_id", "year"), "product_id")
     supply = S.shares(inside, ["cluster"], "share", "supply_share")
     moves = S.momentum(S.shares(inside, ["year", "cluster"], "share", "supply_share", within=["year"]), "cluster", "year", "supply_share", EARLY, LATE).select("cluster", "momentum")
-    said = member.join(held.where("has_ai_summary"), "product_id").groupBy("cluster").agg(F.sum(F.col("n_pros") * F.col("share")).alias("p"), F.sum(F.col("n_cons") * F.col("share")).alias("n"))
-    rows = family_demand(spark, folder, member, held.where("in_population")).join(moves, "cluster").join(supply, "cluster").join(said.select("cluster", S.polarity("p", "n").alias("polarity")), "cluster")
+    said = family_said(spark, folder)
+    rows = family_demand(spark, folder, member, held.where("in_population")).join(moves, "cluster").join(supply, "cluster").join(said.select("cluster", "polarity"), "cluster", "left")
     rows = materialise(rows)
     rows = rows.withColumn("backbone", F.row_number().over(Window.partitionBy().orderBy(F.desc("supply_share"), "cluster")) == 1)  # families, few
     scored = S.z_scores(rows.where("NOT backbone"), list(_PARTS))
@@ -222,6 +340,23 @@ def demand_index(spark, folder):
     return rows.select("cluster", F.round(F.col("z_approval_demeaned") + F.col("z_desire_demeaned") + F.col("z_polarity"), 4).alias("demand_index"), F.round(F.col("supply_share") / largest, 6).alias("bubble"))
 
 
+_TRACED = f"{_SCORE}, tot AS (SELECT cluster, sum(share) AS w FROM fam SEMI JOIN dem USING (product_id) GROUP BY 1), se2 AS (SELECT cluster, {', '.join(f'sum({m} * share) AS {m}' for m in SEASONS)} FROM fam JOIN products USING (product_id) WHERE {' AND '.join(f'{m} IS NOT NULL' for m in SEASONS)} GROUP BY 1)"
+
+
+@R.query(
+    "evidence_trace",
+    f"{_TRACED}, ranked AS (SELECT cluster, score, (row_number() OVER (ORDER BY round(score, 9) DESC, cluster))::INT AS place FROM sc) SELECT place, cluster, cluster_name, round(score, 3) AS score, CASE WHEN w >= 500 THEN 'HIGH' WHEN w >= 200 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, round(approval_demeaned, 3) + 0.0::DOUBLE AS approval_demeaned, round(desire_demeaned, 3) + 0.0::DOUBLE AS desire_demeaned, round(polarity, 3) + 0.0::DOUBLE AS polarity, round(supply_share, 3) + 0.0::DOUBLE AS supply_share, round(momentum, 3) + 0.0::DOUBLE AS momentum, round(w, 3) AS n_products_weighted, CASE greatest({', '.join(SEASONS)}) {' '.join(f"WHEN {m} THEN '{m}'" for m in SEASONS)} END AS season FROM ranked JOIN al USING (cluster) JOIN tot USING (cluster) LEFT JOIN se2 USING (cluster) LEFT JOIN (SELECT cluster, min(cluster_name) AS cluster_name FROM taxonomy_map GROUP BY 1) USING (cluster) WHERE place <= 3",
+)
+def evidence_trace(spark, folder):
+    """The three families of greatest score with all that the score rests on."""
+    rows = composite(spark, folder).where("NOT backbone")
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round("score", 9)), "cluster"))  # families, few
+    names = table(spark, folder, "taxonomy_map").groupBy("cluster").agg(F.min("cluster_name").alias("cluster_name"))
+    rows = rows.withColumn("place", place).where("place <= 3").join(strongest_season(spark, folder), "cluster", "left").join(names, "cluster", "left")
+    held = ("approval_demeaned", "desire_demeaned", "polarity", "supply_share", "momentum")
+    return rows.select("place", "cluster", "cluster_name", *_r("score", digits=3), S.confidence("total_weight").alias("confidence"), *[(F.round(c, 3) + 0.0).alias(c) for c in held], F.round("total_weight", 3).alias("n_products_weighted"), "season")
+
+
 @R.query(
     "strongest_season",
     f"{PRODUCTS}, {FAMILY}, s AS (SELECT cluster, {', '.join(f'sum({m} * share) AS {m}' for m in SEASONS)} FROM fam JOIN products USING (product_id) WHERE {' AND '.join(f'{m} IS NOT NULL' for m in SEASONS)} GROUP BY 1)\nSELECT cluster, CASE greatest({', '.join(SEASONS)}) {' '.join(f'''WHEN {m} THEN '{m}' ''' for m in SEASONS)} END AS season FROM s",
@@ -234,9 +369,6 @@ def strongest_season(spark, folder):
     return sums.select("cluster", F.coalesce(*[F.when(F.col(m) == best, F.lit(m)) for m in SEASONS]).alias("season"))
 
 
-_ACC = f"{_REC}, {ACCORDS}, ap AS (SELECT DISTINCT product_id, accord FROM acc)"
-
-
 @R.query(
     "accord_lift_family",
     f"""{_ACC}, {FAMILY}, p AS (SELECT product_id, cluster, share, accord FROM fam JOIN ap USING (product_id)), b AS (SELECT accord, count(DISTINCT product_id) AS n FROM p GROUP BY 1),

@@ -104,19 +104,49 @@ def p4_claims(spark: SparkSession, folder: str) -> DataFrame:
     return shredded(spark, folder).table("claim").withColumnRenamed("key", "product_id")
 
 
-@R.query("p4_rejects")
+_REJECTED = " UNION ALL ".join(
+    f"""SELECT product_id, '{p}[' || pos || ']' AS id, '' AS parent, '{p}' AS place, (pos)::INT AS pos, CASE WHEN json_type(el) <> 'NULL' THEN el::VARCHAR END AS json FROM (
+  SELECT product_id, unnest(range(len(a))) AS pos, unnest(a) AS el FROM (SELECT product_id, json_extract(r, '$.{p}[*]') AS a FROM j WHERE json_type(r, '$.{p}') = 'ARRAY')) WHERE json_type(el) <> 'OBJECT'"""
+    for p in ("notes.tiered.top", "notes.tiered.middle", "notes.tiered.base", "notes.flat", "ai_summary.pros", "ai_summary.cons", "similar.reminds_me_of", "similar.also_liked", "accords")
+)
+
+
+@R.query("p4_rejects", f"{_LATEST}, bad AS ({_REJECTED}) SELECT * FROM bad")
 def p4_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """Array elements that aren't the expected object."""
     return shredded(spark, folder).rejects().withColumnRenamed("key", "product_id")
 
 
-@R.query("p4_ties")
+@R.query(
+    "p4_ties",
+    f"""{_LATEST}, nodes AS ({_NODES}) SELECT product_id, path || '[' || pos || ']' AS id, '' AS parent, path AS place, pos, val AS id_,
+  TRY_CAST(el->>'$.up_votes' AS BIGINT) AS up_votes, TRY_CAST(el->>'$.down_votes' AS BIGINT) AS down_votes FROM nodes WHERE path LIKE 'similar.%'""",
+)
 def p4_ties(spark: SparkSession, folder: str) -> DataFrame:
     """The shared table of similar products; id_ is the product that a tie names."""
     return shredded(spark, folder).table("tie").withColumnRenamed("key", "product_id")
 
 
-@R.query("p4_records")
+_INLINED = ", ".join([f"TRY_CAST(r->>'$.relation.{m}' AS BIGINT) AS relation_{m}" for m in ("have", "had", "want")] + [f"TRY_CAST(r->>'$.seasons.{m}' AS BIGINT) AS seasons_{m}" for m in ("winter", "spring", "summer", "autumn")])
+
+
+@R.query("p4_records", f"{_LATEST} SELECT product_id, '' AS id, NULL::VARCHAR AS parent, '' AS place, 0::INT AS pos, TRY_CAST(r->>'$.id' AS BIGINT) AS id_, r->>'$.name' AS name, r->>'$.brand' AS brand, {_INLINED} FROM j WHERE json_type(r) = 'OBJECT'")
 def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     """The root table, with the relation and the seasons inlined."""
     return shredded(spark, folder).table("record").withColumnRenamed("key", "product_id")
+
+
+_KNOWN = {p: sorted(RECORD.types[t]) for p, t in (("", "record"), ("notes", "notes"), ("notes.tiered", "tiered"), ("relation", "relation"), ("ai_summary", "summary"), ("similar", "similar"), ("seasons", "seasons"))}
+_ELEMENT = {"note": "notes.%", "claim": "ai_summary.%", "tie": "similar.%", "accord": "accords"}
+_LIST = lambda names: ", ".join(f"'{n}'" for n in names)
+_REST = " UNION ALL ".join(
+    [f"SELECT product_id, '' AS parent, '{p}{'.' if p else ''}' || k AS member FROM (SELECT product_id, unnest(json_keys(r, '${'.' if p else ''}{p}')) AS k FROM j WHERE json_type(r, '${'.' if p else ''}{p}') = 'OBJECT') WHERE k NOT IN ({_LIST(n)})" for p, n in _KNOWN.items()]
+    + [f"SELECT product_id, path || '[' || pos || ']', k FROM (SELECT product_id, path, pos, unnest(json_keys(el)) AS k FROM nodes WHERE path LIKE '{p}') WHERE k NOT IN ({_LIST(RECORD.types[t])})" for t, p in _ELEMENT.items()]
+)
+
+
+@R.query("p4_rest", f"{_LATEST}, nodes AS ({_NODES} UNION ALL {_places('accords', 'name')}), rest AS ({_REST}) SELECT * FROM rest")
+def p4_rest(spark: SparkSession, folder: str) -> DataFrame:
+    """Members of the records and their elements that the graph doesn't know, with the element that has them."""
+    rows = shred(latest(table(spark, folder, "perfumes"), "id", "scraped_at", "record"), "id", "record", RECORD, rest=True)
+    return rows.rest().select(F.col("key").alias("product_id"), "parent", "member")

@@ -12,8 +12,8 @@ from millrace.operators import cluster as C
 from millrace.operators import ranking as K
 from millrace.operators import vectors as V
 from millrace.plans import Registry, table
-from millrace.plans.catalogue import ACCORDS, NOTES, PRODUCTS, _REC, _tier_weighted, accords, product_notes, products
-from millrace.runtime import forget, materialise, ship
+from millrace.plans.catalogue import ACCORDS, FAMILY, NOTES, PRODUCTS, _REC, _tier_weighted, accords, membership, product_notes, products
+from millrace.runtime import forget, materialise, ship, small
 
 R = Registry()
 
@@ -155,6 +155,38 @@ def hybrid_topk(spark, folder):
     return _knn(materialise(V.blend(note_vectors(spark, folder), accord_vectors(spark, folder), "product_id", 0.5)))
 
 
+_FAM_TF = f"{FAMILY}, tf AS (SELECT product_id, cluster AS note, share / sqrt(sum(share * share) OVER (PARTITION BY product_id)) AS weight FROM fam)"
+
+
+def family_vectors(spark, folder) -> DataFrame:
+    """Memberships as vectors: one place a family, 0 where a product has no note of it."""
+    rows = membership(spark, folder)
+    return V.sparse(rows, "product_id", "cluster", "share", _numbered(rows, "cluster"))
+
+
+@R.query("family_topk", f"WITH {_FAM_TF}, {_KNN} SELECT query, rank, neighbour, similarity FROM kn WHERE rank <= 10")
+def family_topk(spark, folder):
+    """Ten products of nearest family memberships."""
+    return _knn(materialise(family_vectors(spark, folder)))
+
+
+@R.query("svd_topk")
+def svd_topk(spark, folder):
+    """Ten products whose notes' mean vectors are nearest."""
+    rows = materialise(_svd_grid(spark, folder, [UNTUNED["note_svd"]]))
+    return _knn(rows.drop("config"))
+
+
+_FAMILIES = list(range(15))
+
+
+@R.query("family_pivot", f"WITH {FAMILY} SELECT product_id, {', '.join(f'round(coalesce(max(share) FILTER (cluster = {c}), 0), 6) AS family_{c}' for c in _FAMILIES)} FROM fam GROUP BY 1")
+def family_pivot(spark, folder):
+    """Memberships of the first fifteen families as columns, 0 where absent."""
+    rows = membership(spark, folder).groupBy("product_id").pivot("cluster", _FAMILIES).agg(F.max("share")).na.fill(0.0)
+    return rows.select("product_id", *[F.round(F.col(str(c)), 6).alias(f"family_{c}") for c in _FAMILIES])
+
+
 @R.query(
     "vector_topk",
     "WITH s AS (SELECT q.vec_id AS query, b.vec_id AS neighbour, round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0) SELECT query, rank, neighbour, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour)::INT AS rank FROM s) WHERE rank <= 10",
@@ -177,7 +209,11 @@ def mean_vectors(spark, folder):
 # --- edges and evaluation ---
 
 _EDGES = "e AS (SELECT DISTINCT product_id, related_id FROM similar_pairs WHERE product_id IS NOT NULL AND related_id IS NOT NULL AND product_id <> related_id)"
-_TRUTH = "tr AS (SELECT DISTINCT product_id, related_id FROM similar_pairs WHERE kind = 'reminds_me_of' AND up_votes - down_votes >= 5 AND product_id <> related_id)"
+_INSIDE = "(SELECT product_id FROM products WHERE in_population)"
+_TRUTH = f"""{PRODUCTS}, tr AS (SELECT DISTINCT s.product_id, related_id FROM similar_pairs s SEMI JOIN {_INSIDE} a ON s.product_id = a.product_id SEMI JOIN {_INSIDE} b ON related_id = b.product_id
+  WHERE kind = 'reminds_me_of' AND up_votes - down_votes >= 5 AND s.product_id <> related_id)"""
+#: Places down to which lists are measured.
+KS = (5, 10, 20)
 
 
 def edges(spark, folder) -> DataFrame:
@@ -186,9 +222,15 @@ def edges(spark, folder) -> DataFrame:
 
 
 def truth(spark, folder) -> DataFrame:
-    """Outgoing ties with at least five net votes; unknown votes don't count."""
+    """Outgoing ties within the population with at least five net votes; unknown votes don't count."""
     rows = table(spark, folder, "similar_pairs").where("kind = 'reminds_me_of' AND up_votes - down_votes >= 5 AND product_id <> related_id")
-    return rows.select("product_id", "related_id").distinct()
+    return _inside(spark, folder, rows.select("product_id", "related_id").distinct())
+
+
+def _inside(spark, folder, ties: DataFrame) -> DataFrame:
+    """Ties with both ends in the population."""
+    inside = products(spark, folder).where("in_population").select("product_id")
+    return ties.join(inside, "product_id", "left_semi").join(inside.withColumnRenamed("product_id", "related_id"), "related_id", "left_semi").select("product_id", "related_id")
 
 
 @R.query("edge_reciprocity", f"WITH {_EDGES} SELECT count(*) AS n_edges, count(*) FILTER (r.product_id IS NOT NULL) AS n_reciprocated FROM e LEFT JOIN e r ON e.product_id = r.related_id AND e.related_id = r.product_id")
@@ -218,8 +260,7 @@ def vote_summary(spark, folder):
 @R.query("edges_in_population", f"{PRODUCTS}, {_EDGES} SELECT e.* FROM e SEMI JOIN products p ON e.product_id = p.product_id AND p.in_population SEMI JOIN products q ON e.related_id = q.product_id AND q.in_population")
 def edges_in_population(spark, folder):
     """Ties with both ends in the population."""
-    inside = products(spark, folder).where("in_population").select("product_id")
-    return edges(spark, folder).join(inside, "product_id", "left_semi").join(inside.withColumnRenamed("product_id", "related_id"), "related_id", "left_semi").select("product_id", "related_id")
+    return _inside(spark, folder, edges(spark, folder))
 
 
 @R.query("symmetric_edges", f"WITH {_EDGES} SELECT product_id, related_id FROM e UNION SELECT related_id, product_id FROM e")
@@ -229,7 +270,7 @@ def symmetric_edges(spark, folder):
     return e.unionByName(e.select(F.col("related_id").alias("product_id"), F.col("product_id").alias("related_id"))).distinct()
 
 
-@R.query("truth_sets", f"WITH {_TRUTH} SELECT product_id, count(*) AS n, string_agg(related_id::VARCHAR, ',' ORDER BY related_id) AS items FROM tr GROUP BY 1")
+@R.query("truth_sets", f"{_TRUTH} SELECT product_id, count(*) AS n, string_agg(related_id::VARCHAR, ',' ORDER BY related_id) AS items FROM tr GROUP BY 1")
 def truth_sets(spark, folder):
     """True neighbours of each query, in order."""
     return truth(spark, folder).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("related_id")), lambda x: x.cast("string")), ",").alias("items"))
@@ -238,16 +279,16 @@ def truth_sets(spark, folder):
 def _metrics_sql(lists: str, truth: str) -> str:
     cells = ", ".join(
         f"round(avg(coalesce(h{k}, 0) / {k}.0::DOUBLE), 6) AS precision_{k}, round(avg(coalesce(h{k}, 0)::DOUBLE / size), 6) AS recall_{k}, round(avg(CASE WHEN first <= {k} THEN 1.0::DOUBLE / first ELSE 0 END), 6) AS mrr_{k}, round(avg(CASE WHEN h{k} > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_{k}"
-        for k in (5, 10)
+        for k in KS
     )
-    return f"""sz AS (SELECT product_id, count(*) AS size FROM {truth} GROUP BY 1), hi AS (SELECT l.product_id, min(rank) AS first, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10 FROM {lists} l JOIN {truth} t ON l.product_id = t.product_id AND l.related_id = t.related_id GROUP BY 1)
+    return f"""sz AS (SELECT product_id, count(*) AS size FROM {truth} GROUP BY 1), hi AS (SELECT l.product_id, min(rank) AS first, {", ".join(f"count(*) FILTER (rank <= {k}) AS h{k}" for k in KS)} FROM {lists} l JOIN {truth} t ON l.product_id = t.product_id AND l.related_id = t.related_id GROUP BY 1)
 SELECT count(*) AS n_evaluated, {cells} FROM (SELECT DISTINCT product_id FROM {lists}) JOIN sz USING (product_id) LEFT JOIN hi USING (product_id)"""
 
 
 _LISTS = "li AS (SELECT product_id, related_id, row_number() OVER (PARTITION BY product_id ORDER BY s DESC, related_id) AS rank FROM (SELECT product_id, neighbour_id AS related_id, max(similarity) AS s FROM neighbours WHERE similarity IS NOT NULL AND NOT isnan(similarity) AND neighbour_id <> product_id GROUP BY 1, 2))"
 
 
-def stored_lists(spark, folder, k: int = 10) -> DataFrame:
+def stored_lists(spark, folder, k: int = KS[-1]) -> DataFrame:
     rows = table(spark, folder, "neighbours").where("similarity IS NOT NULL AND NOT isnan(similarity) AND neighbour_id <> product_id")
     best = rows.groupBy("product_id", F.col("neighbour_id").alias("related_id")).agg(F.max("similarity").alias("s"))
     return K.top_per_group(best, ["product_id"], [F.desc("s"), F.asc("related_id")], k)
@@ -258,16 +299,16 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _metrics(lists: DataFrame, true: DataFrame) -> DataFrame:
-    return _rounded(K.ranking_metrics(lists, true, "product_id", "related_id", "rank", (5, 10)))
+    return _rounded(K.ranking_metrics(lists, true, "product_id", "related_id", "rank", KS))
 
 
-@R.query("rank_metrics", f"WITH {_TRUTH}, {_LISTS}, {_metrics_sql('(SELECT * FROM li WHERE rank <= 10)', 'tr')}")
+@R.query("rank_metrics", f"{_TRUTH}, {_LISTS}, {_metrics_sql('(SELECT * FROM li WHERE rank <= 20)', 'tr')}")
 def rank_metrics(spark, folder):
     """Precision, recall, reciprocal rank and hit rate of the stored neighbours."""
     return _metrics(stored_lists(spark, folder), truth(spark, folder))
 
 
-@R.query("symmetric_inflation", f"WITH {_TRUTH}, {_LISTS}, sy AS (SELECT product_id, related_id FROM tr UNION SELECT related_id, product_id FROM tr), {_metrics_sql('(SELECT * FROM li WHERE rank <= 10)', 'sy')}")
+@R.query("symmetric_inflation", f"{_TRUTH}, {_LISTS}, sy AS (SELECT product_id, related_id FROM tr UNION SELECT related_id, product_id FROM tr), {_metrics_sql('(SELECT * FROM li WHERE rank <= 20)', 'sy')}")
 def symmetric_inflation(spark, folder):
     """The same, if ties count both ways."""
     t = truth(spark, folder)
@@ -275,51 +316,75 @@ def symmetric_inflation(spark, folder):
     return _metrics(stored_lists(spark, folder), both)
 
 
+_SIDES = f"dire AS (SELECT * FROM (WITH {_metrics_sql('(SELECT * FROM li WHERE rank <= 20)', 'tr')})), symm AS (SELECT * FROM (WITH {_metrics_sql('(SELECT * FROM li WHERE rank <= 20)', 'sy')}))"
+_CELLS = [f"{m}_{k}" for k in KS for m in ("precision", "recall", "mrr", "hit")]
+
+
+@R.query(
+    "inflation",
+    f"{_TRUTH}, {_LISTS}, sy AS (SELECT product_id, related_id FROM tr UNION SELECT related_id, product_id FROM tr), {_SIDES} "
+    + " UNION ALL ".join(f"SELECT '{c}' AS metric, dire.{c} AS directional, symm.{c} AS symmetric, round(symm.{c} - dire.{c}, 6) AS inflation FROM dire, symm" for c in _CELLS),
+)
+def inflation(spark, folder):
+    """Each metric with ties as given, with ties both ways, and the difference."""
+    one = rank_metrics(spark, folder).select(F.lit(1).alias("_"), *_CELLS).unpivot(["_"], _CELLS, "metric", "directional").drop("_")
+    two = symmetric_inflation(spark, folder).select(F.lit(1).alias("_"), *_CELLS).unpivot(["_"], _CELLS, "metric", "symmetric").drop("_")
+    return one.join(two, "metric").withColumn("inflation", F.round(F.col("symmetric") - F.col("directional"), 6))
+
+
 @R.query(
     "baseline_popularity",
-    f"{PRODUCTS}, {_TRUTH}, be AS (SELECT product_id AS related_id, people FROM products WHERE people IS NOT NULL ORDER BY people DESC, product_id LIMIT 11), pl AS (SELECT q.product_id, related_id, row_number() OVER (PARTITION BY q.product_id ORDER BY people DESC, related_id) AS rank FROM (SELECT DISTINCT product_id FROM tr) q, be WHERE q.product_id <> related_id), {_metrics_sql('(SELECT * FROM pl WHERE rank <= 10)', 'tr')}",
+    f"{_TRUTH}, be AS (SELECT product_id AS related_id, have FROM products WHERE in_population AND have IS NOT NULL ORDER BY have DESC, product_id LIMIT 21), pl AS (SELECT q.product_id, related_id, row_number() OVER (PARTITION BY q.product_id ORDER BY have DESC, related_id) AS rank FROM (SELECT DISTINCT product_id FROM tr) q, be WHERE q.product_id <> related_id), {_metrics_sql('(SELECT * FROM pl WHERE rank <= 20)', 'tr')}",
 )
 def baseline_popularity(spark, folder):
-    """The best known products for everyone."""
-    items = products(spark, folder).select(F.col("product_id").alias("related_id"), "people")
+    """The products that most people have, for everyone."""
+    items = products(spark, folder).where("in_population").select(F.col("product_id").alias("related_id"), "have")
     true = truth(spark, folder)
-    return _metrics(K.popularity_lists(true, items, "product_id", "related_id", "people", 10), true)
+    return _metrics(K.popularity_lists(true, items, "product_id", "related_id", "have", KS[-1]), true)
 
 
 @R.query(
     "baseline_same_brand",
-    f"{PRODUCTS}, {_TRUTH}, pl AS (SELECT q.product_id, b.product_id AS related_id, row_number() OVER (PARTITION BY q.product_id ORDER BY b.people DESC NULLS LAST, b.product_id) AS rank FROM (SELECT DISTINCT product_id FROM tr) t JOIN products q USING (product_id) JOIN products b ON q.brand = b.brand AND q.product_id <> b.product_id), {_metrics_sql('(SELECT * FROM pl WHERE rank <= 10)', 'tr')}",
+    f"{_TRUTH}, pl AS (SELECT q.product_id, b.product_id AS related_id, row_number() OVER (PARTITION BY q.product_id ORDER BY b.have DESC NULLS LAST, b.product_id) AS rank FROM (SELECT DISTINCT product_id FROM tr) t JOIN products q USING (product_id) JOIN products b ON q.brand = b.brand AND q.product_id <> b.product_id AND b.in_population), {_metrics_sql('(SELECT * FROM pl WHERE rank <= 20)', 'tr')}",
 )
 def baseline_same_brand(spark, folder):
-    """The best known products of the same brand."""
-    items = products(spark, folder).select(F.col("product_id").alias("related_id"), "brand", "people")
+    """The products of the same brand that most people have."""
+    items = products(spark, folder).where("in_population").select(F.col("product_id").alias("related_id"), "brand", "have")
     true = truth(spark, folder)
-    return _metrics(K.same_group_lists(true, items, "product_id", "related_id", "brand", "people", 10), true)
+    return _metrics(K.same_group_lists(true, items, "product_id", "related_id", "brand", "have", KS[-1]), true)
 
 
 @R.query("baseline_md5_random")
 def baseline_md5_random(spark, folder):
     """Products drawn by hash."""
-    items = products(spark, folder).select(F.col("product_id").alias("related_id"))
+    items = products(spark, folder).where("in_population").select(F.col("product_id").alias("related_id"))
     true = truth(spark, folder)
-    return _metrics(K.hashed_lists(true, items, "product_id", "related_id", 10, "random"), true)
+    return _metrics(K.hashed_lists(true, items, "product_id", "related_id", KS[-1], "random"), true)
+
+
+_SPLIT = f"""{_TRUTH}, u AS (SELECT DISTINCT product_id, ('0x' || substr(md5('split' || product_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM tr),
+sp AS (SELECT product_id, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'validation' ELSE 'test' END AS split FROM u), n(split) AS (VALUES ('train'), ('validation'), ('test'))"""
 
 
 @R.query(
     "split_md5",
-    f"WITH {_TRUTH}, u AS (SELECT DISTINCT product_id, ('0x' || substr(md5('split' || product_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM tr) SELECT product_id, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'validation' ELSE 'test' END AS split FROM u",
+    f"{_TRUTH}, u AS (SELECT DISTINCT product_id, ('0x' || substr(md5('split' || product_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM tr) SELECT product_id, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'validation' ELSE 'test' END AS split FROM u",
 )
 def split_md5(spark, folder):
     """Queries in three disjoint splits, the same in every engine."""
     return K.hashed_split(truth(spark, folder), "product_id", {"train": 0.6, "validation": 0.2, "test": 0.2}, "split")
 
 
-@R.query("split_overlap", "SELECT 0::BIGINT AS n_shared")
+@R.query("split_overlap", f"{_SPLIT} SELECT a.split AS one, b.split AS other, count(*) FILTER (p.product_id IS NOT NULL AND q.product_id IS NOT NULL) AS n_shared FROM n a JOIN n b ON a.split < b.split CROSS JOIN (SELECT DISTINCT product_id FROM sp) i LEFT JOIN sp p ON p.product_id = i.product_id AND p.split = a.split LEFT JOIN sp q ON q.product_id = i.product_id AND q.split = b.split GROUP BY 1, 2")
 def split_overlap(spark, folder):
-    """No query is in two splits: an intersection that must be empty."""
-    s = split_md5(spark, folder)
+    """No query is in two splits: three intersections that must be empty."""
+    s = materialise(split_md5(spark, folder))
     pick = lambda n: s.where(F.col("split") == n).select("product_id")
-    return pick("train").intersect(pick("test")).agg(F.count(F.lit(1)).alias("n_shared"))
+    out = None
+    for a, b in (("test", "train"), ("test", "validation"), ("train", "validation")):
+        one = pick(a).intersect(pick(b)).agg(F.count(F.lit(1)).alias("n_shared")).select(F.lit(a).alias("one"), F.lit(b).alias("other"), "n_shared")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 #: The surveyed grids, and the configuration of each that is used untuned.
@@ -337,7 +402,7 @@ def _tfidf_grid(spark, folder, picked) -> DataFrame:
     rows = materialise(rows.groupBy("product_id", "note").agg(F.max(F.coalesce(F.try_element_at(heavy, F.col("tier")), F.lit(1.0))).alias("heavy")))
     seen = rows.groupBy("note").agg(F.count(F.lit(1)).alias("df")).join(_numbered(rows, "note"), "note")
     n = rows.select("product_id").distinct().count()
-    held = rows.join(F.broadcast(seen), "note").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("idx", "heavy", "df"))).alias("_l"))  # of the bounded vocabulary
+    held = rows.join(small(materialise(seen)), "note").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("idx", "heavy", "df"))).alias("_l"))  # of the bounded vocabulary
     grid = [F.struct(F.lit(i).alias("config"), *[F.lit(v).alias(c) for c, v in zip(("sub", "least", "idf", "tiers"), TFIDF_GRID[i], strict=True)]) for i in picked]
     tried = held.withColumn("c", F.explode(F.array(*grid)))
     tried = tried.withColumn("_l", F.filter("_l", lambda x: x["df"] >= F.col("c.least")))
@@ -358,7 +423,7 @@ def _svd_grid(spark, folder, picked) -> DataFrame:
     # U S of fewer dimensions is the beginning of that of more
     full = {shift: C.svd_embedding(C.square(A.ppmi(found, shift=shift), "a", "b", "ppmi", names), max(size for size, _ in SVD_GRID)) for shift in {s for _, s in grid.values()}}
     at = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "note string, idx int")
-    held = notes.join(F.broadcast(at), "note").groupBy("product_id").agg(F.collect_list("idx").alias("_l"))
+    held = notes.join(small(at), "note").groupBy("product_id").agg(F.collect_list("idx").alias("_l"))
     kind = held.schema["product_id"].dataType.simpleString()
 
     def means(batches):
@@ -399,8 +464,8 @@ def grid_search(spark, folder):
     def measured(build, picked, split: str) -> list:
         rows = materialise(build(spark, folder, picked))
         asked = rows.join(true.where(F.col("split") == split).select("product_id").distinct(), "product_id", "left_semi")
-        lists = V.top_k(asked, rows, "product_id", 10, by="config").select("config", F.col("query").alias("product_id"), F.col("neighbour").alias("related_id"), "rank")
-        out = _rounded(K.ranking_metrics(materialise(lists), true, "product_id", "related_id", "rank", (5, 10), by=["config"])).collect()  # configurations, few
+        lists = V.top_k(asked, rows, "product_id", KS[-1], by="config").select("config", F.col("query").alias("product_id"), F.col("neighbour").alias("related_id"), "rank")
+        out = _rounded(K.ranking_metrics(materialise(lists), true, "product_id", "related_id", "rank", KS, by=["config"])).collect()  # configurations, few
         forget(rows)
         return out
 
@@ -415,7 +480,7 @@ def grid_search(spark, folder):
                 columns = [c for c in r.asDict() if c != "config"]
                 gain = None if untuned is None else round(r["precision_10"] - untuned, 6)
                 out.append((name, _named(name, r["config"]), split, place[r["config"]], r["config"] == UNTUNED[name], gain, *[r[c] for c in columns]))
-    columns = columns or ["n_evaluated", *[f"{m}_{k}" for k in (5, 10) for m in ("precision", "recall", "mrr", "hit")]]
+    columns = columns or ["n_evaluated", *[f"{m}_{k}" for k in KS for m in ("precision", "recall", "mrr", "hit")]]
     return spark.createDataFrame(out, "representation string, config string, split string, place int, untuned boolean, gain double, " + ", ".join(f"{c} {'bigint' if c == 'n_evaluated' else 'double'}" for c in columns))
 
 
@@ -424,8 +489,9 @@ def best_per_metric(spark, folder):
     """Which list is best in each metric, and who beats whom in all of them."""
     named = lambda df, n: df.withColumn("algorithm", F.lit(n))
     rows = named(rank_metrics(spark, folder), "stored").unionByName(named(baseline_popularity(spark, folder), "popularity")).unionByName(named(baseline_same_brand(spark, folder), "same_brand"))
+    rows = materialise(rows)
     metrics = [c for c in rows.columns if c not in ("algorithm", "n_evaluated")]
     long = rows.unpivot(["algorithm"], metrics, "metric", "value")
     best = K.top_per_group(long, ["metric"], [F.desc("value"), F.asc("algorithm")], 1).select("metric", "algorithm", "value")
-    beaten = K.dominates(rows.persist(), "algorithm", metrics).groupBy(F.col("better").alias("algorithm")).agg(F.count(F.lit(1)).alias("n_beaten"))
+    beaten = K.dominates(rows, "algorithm", metrics).groupBy(F.col("better").alias("algorithm")).agg(F.count(F.lit(1)).alias("n_beaten"))
     return best.join(beaten, "algorithm", "left").na.fill(0, ["n_beaten"])

@@ -102,16 +102,21 @@ def prepared(spark: SparkSession, name: str, inputs: Sequence[str], build: Calla
 
     It is built anew if any of the input paths has other files, sizes or times than when it was written.
     """
+    key = (spark.sparkContext.applicationId, name, file_states(spark, inputs))
+    if key not in _prepared:
+        _prepared[key] = materialise(build())
+    return _prepared[key]
+
+
+def file_states(spark: SparkSession, paths: Sequence[str]) -> tuple:
+    """Files of some paths with their sizes and times."""
     state = []
-    for p in inputs:
+    for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []:
             held = f.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(f.getPath())
             state += [(str(x.getPath()), x.getLen(), x.getModificationTime()) for x in held]
-    key = (spark.sparkContext.applicationId, name, tuple(sorted(state)))
-    if key not in _prepared:
-        _prepared[key] = materialise(build())
-    return _prepared[key]
+    return tuple(sorted(state))
 
 
 _swept: set[str] = set()

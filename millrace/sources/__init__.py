@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.runtime import file_states
+
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, fail_fast: bool = False) -> DataFrame:
     """JSON lines by an explicit schema; compressed files by their extension. Bad lines have their text in _corrupt_record, or fail the read."""
@@ -64,6 +69,23 @@ def write_report(tables: dict[str, DataFrame], path: str, most: int = 200) -> No
     Path(path).write_text("\n\n".join(parts) + "\n", encoding="utf-8")
 
 
+def cached_vectors(spark: SparkSession, path: str, names: Sequence[str], inputs: Sequence[str], build: Callable[[], np.ndarray]) -> np.ndarray:
+    """One vector a name, in order: those stored under path if they are of exactly these names in this order and of these inputs, else built and stored there.
+
+    names is a bounded vocabulary. The inputs' files, sizes and times are kept beside the vectors, so other data of the same vocabulary isn't taken for these.
+    """
+    state = repr((list(names), file_states(spark, inputs)))
+    at = f"{path}/{hashlib.md5(state.encode()).hexdigest()}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        rows = spark.read.parquet(at).orderBy("place").collect()
+        if [r["name"] for r in rows] == list(names):
+            return np.array([r["vector"] for r in rows], float).reshape(len(rows), -1)
+    made = build()
+    spark.createDataFrame([(i, n, [float(x) for x in v]) for i, (n, v) in enumerate(zip(names, made, strict=True))], "place int, name string, vector array<double>").write.mode("overwrite").parquet(at)
+    return made
+
+
 def manifest(spark: SparkSession, paths: dict[str, str]) -> list[tuple[str, int, int]]:
     """Name, rows and columns of parquet artefacts."""
     out = []

@@ -72,3 +72,31 @@ def test_recursive_and_nested(spark):
     assert posts["posts[0].replies[0].replies[0]"].author_name == "z"
     assert sorted((r.key, r.title) for r in parts.table("thread").collect()) == [(1, "t"), (2, None)]
     assert shred(df.where("false"), "k", "r", graph).nodes.count() == 0
+
+
+def test_rest_keeps_unknown_members(spark):
+    records = [
+        (1, json.dumps({"id": 1, "odd": {"x": [1]}, "notes": {"flat": [{"name": "a", "extra": True}, "text"], "why": None}, "relation": {"have": 1, "lost": 2}})),
+        (2, json.dumps({"similar": {"also_liked": {"id": 5, "seen": "s"}}})), (3, "{bad"), (4, None), (5, "[1]"),
+    ]
+    df = spark.createDataFrame(records, "k long, r string")
+    got = {(x.key, x.parent, x.member, x.json) for x in shred(df, "k", "r", RECORD, rest=True).rest().collect()}
+    assert got == {
+        (1, "", "odd", '{"x":[1]}'), (1, "", "notes.why", "null"), (1, "", "relation.lost", "2"), (1, "notes.flat[0]", "extra", "true"), (2, "similar.also_liked[0]", "seen", '"s"'),
+    }
+    # without it the records' own aren't carried, those of the elements are
+    assert {x.member for x in shred(df, "k", "r", RECORD).rest().collect()} == {"extra", "seen"}
+    assert shred(df.where("false"), "k", "r", RECORD, rest=True).rest().count() == 0
+
+
+def test_products_parse_once(spark, tmp_path):
+    from millrace.plans.catalogue import flattened
+
+    rows = [(1, "r", "b", 2000, "g", 60, 7.0, json.dumps({"notes": {"flat": [{"name": "x"}, {"name": " "}]}, "relation": {"have": 0, "want": 0}}), i) for i in (1, 2)] + [(2, "r", None, None, None, None, None, "{", 1)]
+    df = spark.createDataFrame(rows, "id long, slug string, brand string, year long, gender string, people long, rating_average double, record string, at long")
+    df.withColumn("scraped_at", F.timestamp_seconds("at")).drop("at").write.parquet(str(tmp_path / "perfumes.parquet"))
+    out = flattened(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2  # once in each branch: ids that stand once, ids that stand more often
+    (row,) = out.collect()
+    assert (row.product_id, row.n_notes, row.have, row.has_votes, row.in_population) == (1, 1, None, False, True)

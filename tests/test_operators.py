@@ -290,3 +290,24 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         runtime.scratch(Session)
+
+
+def test_banded_pairs_against_brute_force(spark):
+    import random
+
+    from millrace.operators.resolve import banded_pairs
+
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(80)})
+    got = {(x.short, x.long) for x in banded_pairs(spark.createDataFrame([(w,) for w in words + words[:5] + [None, ""]], "t string"), "t", 2).collect()}
+    want = {tuple(sorted((a, b), key=lambda w: (len(w), w))) for a in words for b in words if a < b and a[0] == b[0] and abs(len(a) - len(b)) <= 2}
+    assert got == want
+
+
+def test_contingency_table_is_not_cut(spark, monkeypatch):
+    from millrace.operators import cluster
+
+    monkeypatch.setattr(cluster, "CELLS", 3)
+    df = spark.createDataFrame([(i, i % 2) for i in range(4)], "a long, b long")
+    with pytest.raises(ValueError):
+        cluster.adjusted_mutual_information(df, "a", "b")

@@ -71,3 +71,20 @@ def test_alternatives_have_all_minimum_sizes_and_the_strong_graph(spark):
     names, _ = P._embedded(spark, FOLDER)
     strong = C.square(P.A.ppmi(P.counts(spark, FOLDER)).where("ppmi >= 1"), "a", "b", "ppmi", names)
     assert got["louvain"].n_clusters == len(set(C.louvain(strong)))
+
+
+def test_map_and_nesting(spark):
+    cells = P.som_map(spark, FOLDER).collect()
+    notes = P.svd_embedding(spark, FOLDER).count()
+    assert len(cells) == 36 and sum(r.n_notes for r in cells) == notes and all(r.ridge >= 0 and r.quantisation_error > 0 for r in cells)
+    nested = P.family_nesting(spark, FOLDER).collect()
+    assert sum(r.n_notes for r in nested) == notes and all(0 < r.purity <= 1 for r in nested) and len({(r.linkage, r.degenerate) for r in nested}) == 1
+
+
+def test_svd_neighbours(spark):
+    rows = {r.product_id: dict(zip(r.idx, r.val)) for r in S._svd_grid(spark, FOLDER, [S.UNTUNED["note_svd"]]).collect()}
+    got = S.svd_topk(spark, FOLDER).collect()
+    dense = {k: np.array([v[i] for i in range(len(v))]) for k, v in rows.items()}
+    query = min(r.query for r in got)
+    want = sorted(((-round(float(dense[query] @ v), 6), k) for k, v in dense.items() if k != query))[:10]
+    assert [(r.neighbour, r.similarity) for r in sorted((r for r in got if r["query"] == query), key=lambda r: r["rank"])] == [(k, pytest.approx(-s, abs=2e-6)) for s, k in want]

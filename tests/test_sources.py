@@ -41,3 +41,23 @@ def test_stream(spark, tmp_path):
     q = flatten_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", "note")
     q.awaitTermination(120)
     assert [(r.place, r.pos, r.name) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("notes.flat", 0, "a")]
+
+
+def test_cached_vectors(spark, tmp_path):
+    import numpy as np
+
+    at, built = str(tmp_path / "cache"), []
+
+    def build(n=3):
+        built.append(n)
+        return np.arange(6.0).reshape(3, 2)
+
+    spark.range(3).write.parquet(str(tmp_path / "in.parquet"))
+    ask = lambda names: sources.cached_vectors(spark, at, names, [str(tmp_path / "in.parquet")], build)
+    for _ in range(2):
+        assert ask(["a", "b", "c"]).tolist() == [[0, 1], [2, 3], [4, 5]]
+    assert len(built) == 1
+    ask(["a", "c", "b"])  # another vocabulary
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "in.parquet"))
+    ask(["a", "b", "c"])  # other data
+    assert len(built) == 3
