@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.runtime import BROADCAST_ROWS, materialise, require
+from millrace.runtime import BROADCAST_ROWS, at_most, materialise, require
 
 _ELEMENTS = "array<struct<type:string,place:string,pos:int,v:variant>>"
+#: Bits of the filter of keys that come more than once, where they are too many to broadcast: 32 MB.
+FILTER_BITS = 1 << 28
 VALUE, ONE, MANY = "value", "one", "many"
 
 
@@ -183,23 +185,39 @@ def is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
-def latest(df: DataFrame, key: str, at: str, payload: str) -> DataFrame:
+def latest(df: DataFrame, key: str, at: str, payload: str, broadcast_rows: int = 5 * BROADCAST_ROWS) -> DataFrame:
     """For each key its payload with the greatest at, of equals the greatest payload: columns key, payload.
 
     Few keys come more than once. Only those are looked up, in a set that is broadcast if a count proves it small, so the
     payloads of all others stay where they are. Of the keys that do, rows but the latest are dropped
     before the shuffle and equal ones merged in the task that reads them, so that a key with a third of all rows doesn't gather.
+    Where the keys are too many for that, a filter of FILTER_BITS bits of their hashes is broadcast: rows whose bit isn't set stand
+    once and stay where they are; the others, among them some that stand once, are merged by key.
     A null at is the earliest. Rows with a null key are left out.
     """
     src = require(df, [key, at, payload]).toDF("_k", "_at", "_p").where("_k IS NOT NULL")
     again = src.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.max("_at").alias("_last")).where("_n > 1").select("_k", "_last")
     again = materialise(again)
-    again = F.broadcast(again) if again.count() <= 5 * BROADCAST_ROWS else again  # two numbers a row
+    if not at_most(again, broadcast_rows):  # two numbers a row
+        return _latest_filtered(src, again).toDF(key, payload)
+    again = F.broadcast(again)
     once = src.join(again.select("_k"), "_k", "left_anti").select("_k", "_p")
     more = src.join(again, "_k").where(F.col("_at").eqNullSafe(F.col("_last"))).groupBy("_k").agg(F.max("_p").alias("_p"))
     return once.unionByName(more).toDF(key, payload)
 
 
+def _latest_filtered(src: DataFrame, again: DataFrame) -> DataFrame:
+    bit = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS))
+    # at most FILTER_BITS / 8 bytes
+    held = again.select(bit("_k").alias("_b")).groupBy(F.bitmap_bucket_number("_b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_bits"))
+    held = F.broadcast(materialise(held))
+    rows = src.withColumn("_bucket", F.bitmap_bucket_number(bit("_k"))).join(held, "_bucket", "left").withColumn("_at_bit", F.bitmap_bit_position(bit("_k")))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    seen = F.col("_bits").isNotNull() & (F.coalesce(byte, F.lit(0)).bitwiseAND(F.expr("shiftleft(1, cast(_at_bit % 8 as int))")) != 0)
+    more = rows.where(seen).groupBy("_k").agg(F.max(F.struct("_at", "_p")).alias("_m")).select("_k", "_m._p")
+    return rows.where(~seen).select("_k", "_p").unionByName(more)
+
+
 def shred(df: DataFrame, key: str, record: str, graph: SchemaGraph, rest: bool = False) -> Shredded:
     """Records of JSON text as flat tables by shared inlining.
 

@@ -115,12 +115,12 @@ def canonical_pick(members: DataFrame, group: str, token: str, count: str, force
     return rows.withColumn("_first", first).withColumn("_k", F.row_number().over(w)).where("_k = 1").select(group, F.col(token).alias("canonical"))
 
 
-def resolve(occurrences: DataFrame, token: str, record: str, merges: DataFrame, placeholders: str, rare: int, excluded: Sequence[tuple[str, str]] = (), forced: Sequence[tuple[str, str]] = (), review: DataFrame | None = None) -> DataFrame:
+def resolve(occurrences: DataFrame, token: str, record: str, merges: DataFrame, placeholders: str, rare: int, excluded: Sequence[tuple[str, str]] = (), forced: Sequence[tuple[str, str]] = (), review: DataFrame | None = None, canonical: Sequence[str] = ()) -> DataFrame:
     """raw_token, n_products, canonical, action, reason, review for every token.
 
     merges: short, long of tokens that mean the same, and if known the reason. review: short, long, reason, ratio (null if it isn't likeness) of pairs to look
     at that merge nothing; every token that is no placeholder has all of its own in the column review, as other, reason, ratio. The reason of a MERGE is
-    the evidence between the token and its canonical form, or that others tie them; that of a KEEP names what to look at, null if nothing. Excluded pairs block the direct edge, forced ones add it. Placeholders (a pattern) and groups
+    the evidence between the token and its canonical form, or that others tie them; that of a KEEP names what to look at, null if nothing. Excluded pairs block the direct edge, forced ones add it; a token of canonical, a list given by hand, is the canonical form of its group whatever the counts. Placeholders (a pattern) and groups
     in fewer than rare records are dropped. The group's records are counted distinctly over its members, without sets.
     """
     spark = occurrences.sparkSession
@@ -140,7 +140,7 @@ def resolve(occurrences: DataFrame, token: str, record: str, merges: DataFrame,
     member = noted.where("NOT _drop").join(groups.withColumnRenamed("node", "raw_token"), "raw_token", "left").withColumn("component", F.coalesce("component", "raw_token"))
     member = materialise(member)
     total = held.join(member.select("raw_token", "component"), "raw_token").groupBy("component").agg(F.countDistinct("_r").alias("_total"))
-    out = member.join(canonical_pick(member, "component", "raw_token", "n_products"), "component").join(total, "component", "left")
+    out = member.join(canonical_pick(member, "component", "raw_token", "n_products", spark.createDataFrame([(c,) for c in sorted(set(canonical))], "token string") if canonical else None), "component").join(total, "component", "left")
     action = F.when(F.coalesce("_total", F.lit(0)) < rare, "DROP_RARE").when(F.col("canonical") == F.col("raw_token"), "KEEP").otherwise("MERGE")
     direct = _both(edges).groupBy(F.col("short").alias("raw_token"), F.col("long").alias("canonical")).agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("_direct"))
     seen = "array<struct<other:string,reason:string,ratio:double>>"

@@ -87,6 +87,12 @@ def token_map(spark: SparkSession, folder: str) -> DataFrame:
 
 def product_notes(spark: SparkSession, folder: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Distinct products and canonical notes, by the token map."""
+    if not extra:
+        return prepared(spark, "product_notes", [f"{folder}/{t}.parquet" for t in ("notes_long", "note_normalisation")], lambda: _product_notes(spark, folder))
+    return _product_notes(spark, folder, extra)
+
+
+def _product_notes(spark: SparkSession, folder: str, extra: tuple[str, ...] = ()) -> DataFrame:
     rows = table(spark, folder, "notes_long").where("product_id IS NOT NULL").select("product_id", *extra, token(F.col("note_raw")).alias("raw_token"))
     return rows.join(small(token_map(spark, folder)), "raw_token").select("product_id", "note", *extra).distinct()
 

@@ -12,6 +12,7 @@ from millrace.functions.text import token
 from millrace.operators import association as A
 from millrace.operators import cluster as C
 from millrace.operators import resolve as E
+from millrace.operators import vectors as V
 from millrace.plans import Registry, table
 from millrace.plans.catalogue import _TYPED, PLACEHOLDERS, product_notes
 from millrace.plans.similarity import _PPMI, counts, ppmi
@@ -229,6 +230,13 @@ def svd_embedding(spark, folder):
     return spark.createDataFrame([(n, p.tolist()) for n, p in zip(names, points, strict=True)], "note string, vector array<double>")
 
 
+@R.query("cosine_partners")
+def cosine_partners(spark, folder):
+    """Ten notes of nearest vectors to each note."""
+    rows = materialise(V.from_dense(svd_embedding(spark, folder), "note", "vector"))
+    return V.top_k(rows, rows, "note", 10)
+
+
 @R.query("kmeans_families")
 def kmeans_families(spark, folder):
     """Families of the note vectors."""

@@ -180,10 +180,11 @@ def svd_topk(spark, folder):
 _FAMILIES = list(range(15))
 
 
-@R.query("family_pivot", f"WITH {FAMILY} SELECT product_id, {', '.join(f'round(coalesce(max(share) FILTER (cluster = {c}), 0), 6) AS family_{c}' for c in _FAMILIES)} FROM fam GROUP BY 1")
+@R.query("family_pivot", f"WITH {FAMILY} SELECT product_id, {', '.join(f'round(coalesce(max(share) FILTER (cluster = {c}), 0), 6) AS family_{c}' for c in _FAMILIES)} FROM (SELECT DISTINCT product_id FROM pn) LEFT JOIN fam USING (product_id) GROUP BY 1")
 def family_pivot(spark, folder):
-    """Memberships of the first fifteen families as columns, 0 where absent."""
-    rows = membership(spark, folder).groupBy("product_id").pivot("cluster", _FAMILIES).agg(F.max("share")).na.fill(0.0)
+    """Memberships of the fifteen families as columns, a row for every product with notes, 0 where absent."""
+    rows = membership(spark, folder).groupBy("product_id").pivot("cluster", _FAMILIES).agg(F.max("share"))
+    rows = product_notes(spark, folder).select("product_id").distinct().join(rows, "product_id", "left").na.fill(0.0, [str(c) for c in _FAMILIES])
     return rows.select("product_id", *[F.round(F.col(str(c)), 6).alias(f"family_{c}") for c in _FAMILIES])
 
 

@@ -28,6 +28,18 @@ def test_latest(spark):
     rows = [(1, 1, "a"), (1, 3, "b"), (1, 3, "b"), (1, 2, "c"), (2, None, "d"), (2, None, "e"), (3, None, "f"), (3, 1, None), (None, 9, "g"), (4, 1, "h")]
     got = latest(spark.createDataFrame(rows, "k long, t long, p string"), "k", "t", "p").collect()
     assert sorted((r.k, r.p) for r in got) == [(1, "b"), (2, "e"), (3, None), (4, "h")]
+
+
+def test_latest_with_a_filter_of_keys(spark, monkeypatch):
+    from millrace.operators import nested
+
+    rows = [(k, t, f"{k}-{t}") for k in range(300) for t in range(1 + (k % 3 == 0))] + [(None, 1, "x"), (900, None, "a"), (900, None, "b"), (901, None, "c"), (901, 1, None)]
+    df = spark.createDataFrame(rows, "k long, t long, p string")
+    want = sorted(map(tuple, latest(df, "k", "t", "p").collect()))
+    assert len(want) == 302
+    for bits in (1 << 28, 1 << 6):  # with few bits most rows that stand once are taken along
+        monkeypatch.setattr(nested, "FILTER_BITS", bits)
+        assert sorted(map(tuple, latest(df, "k", "t", "p", broadcast_rows=0).collect())) == want
     assert latest(spark.createDataFrame([], "k long, t long, p string"), "k", "t", "p").count() == 0
 
 

@@ -311,3 +311,13 @@ def test_contingency_table_is_not_cut(spark, monkeypatch):
     df = spark.createDataFrame([(i, i % 2) for i in range(4)], "a long, b long")
     with pytest.raises(ValueError):
         cluster.adjusted_mutual_information(df, "a", "b")
+
+
+def test_canonical_form_by_hand(spark):
+    from millrace.operators.resolve import resolve
+
+    said = spark.createDataFrame([(t, r) for t, n in (("rose", 9), ("roses", 3)) for r in range(n)], "t string, r long")
+    pairs = spark.createDataFrame([("rose", "roses")], "short string, long string")
+    for by_hand, want in (((), "rose"), (("roses",), "roses")):
+        got = {x.raw_token: x for x in resolve(said, "t", "r", pairs, "^none$", rare=1, canonical=by_hand).collect()}
+        assert {x.canonical for x in got.values()} == {want} and got[want].action == "KEEP"
