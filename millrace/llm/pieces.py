@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tokens import encoder, vocabulary_path
-from millrace.runtime import dealt, require, ship
+from millrace.llm.tokens import encoder, shipped, vocabulary_path
+from millrace.runtime import dealt, require
 
 #: Tokens of a piece at most, and tokens that consecutive pieces share.
 LIMIT, OVERLAP = 1_024, 64
@@ -43,12 +43,12 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, o
     """
     if not 0 <= overlap < limit - 4:
         raise ValueError("the overlap must be smaller than the limit, less the bytes of a character")
-    ship(df.sparkSession)
+    path = shipped(df.sparkSession, vocabulary_path(vocabulary))
     src = require(df, [id_col, text_col]).toDF("_id", "_text").where("_text IS NOT NULL AND _text <> ''")
     src = dealt(src, F.xxhash64("_text", F.spark_partition_id()))
     kind = src.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, piece int, pieces int, start int, end int, n_tokens int, shared int, text string"
-    out = src.mapInArrow(_split_rows(vocabulary_path(vocabulary), limit, overlap, with_text), schema)
+    out = src.mapInArrow(_split_rows(path, limit, overlap, with_text), schema)
     return out.withColumnRenamed("_id", id_col)
 
 

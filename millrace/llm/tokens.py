@@ -9,7 +9,8 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.runtime import require, ship
@@ -35,10 +36,10 @@ def vocabulary_path(path: str | None = None) -> str:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """The tokenizer of a rank file; one for a Python worker."""
+    """The tokenizer of a rank file; one for a Python worker. Executors that don't have the file get it from the driver."""
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -50,6 +51,17 @@ def pretokens():
     return regex.compile(PATTERN)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """path, once the file is where executors without it can fetch it."""
+    sc = spark.sparkContext
+    held = getattr(sc, "_millrace_vocabularies", None) or set()
+    if path not in held:
+        sc.addFile(path)
+        sc._millrace_vocabularies = held | {path}
+    ship(spark)
+    return path
+
+
 def decode(ids: list[int], path: str | None = None) -> str:
     """The text of ids: their raw bytes put together."""
     return b"".join(map(encoder(vocabulary_path(path)).decode_single_token_bytes, ids)).decode("utf-8", "replace")
@@ -68,8 +80,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = N
     boundary is taken that holds whatever came before, and what lies between stays one piece. The pieces are
     encoded in parallel and the ids put together. The ids are those of the whole text.
     """
-    ship(df.sparkSession)
-    path = vocabulary_path(vocabulary)
+    path = shipped(df.sparkSession, vocabulary_path(vocabulary))
     src = require(df, [id_col, text_col]).toDF("_id", "_text")
     size = F.length("_text")
     alone = src.where(F.col("_text").isNull() | F.col("_id").isNull() | (size <= chunk_chars))
@@ -84,8 +95,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = N
 
 def count_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = None) -> DataFrame:
     """Number of tokens of each text: columns id_col, n_tokens. Null and empty texts have 0."""
-    ship(df.sparkSession)
-    path = vocabulary_path(vocabulary)
+    path = shipped(df.sparkSession, vocabulary_path(vocabulary))
     src = require(df, [id_col, text_col]).toDF("_id", "_text")
     kind = src.schema["_id"].dataType.simpleString()
     long = F.col("_id").isNotNull() & (F.coalesce(F.length("_text"), F.lit(0)) > CHUNK_CHARS)
@@ -180,23 +190,20 @@ def _pieces(long: DataFrame, kind: str, size: int, overlap: int) -> DataFrame:
     long = long.select(F.struct(F.col("_id").alias("i"), F.xxhash64("_text").alias("h")).alias("_id"), "_text")
     chunks = long.mapInArrow(_cut(size, overlap), f"_id {kind}, _chunk int, _text string").repartition("_id", "_chunk")
     reports = chunks.mapInArrow(_report(size, overlap), f"_id {kind}, _chunk int, _head array<int>, _tail array<int>, _safe int")
-    # a boundary in common with the chunk before counts if that one is in step, that is, has a cut of its own; few numbers a chunk, no text
-    made = "array<struct<c:int,cut:int>>"
-
-    def step(done: Column, x: Column) -> Column:
-        common = F.array_min(F.array_intersect(x["_head"], done["tail"]))
-        led = F.try_element_at(done["cuts"], F.lit(-1))["cut"].isNotNull() & common.isNotNull()
-        cut = F.when(x["_chunk"] == 0, F.lit(0)).when(led, common).otherwise(x["_safe"])
-        return F.struct(F.concat(done["cuts"], F.array(F.struct(x["_chunk"].alias("c"), cut.alias("cut")))).alias("cuts"), x["_tail"].alias("tail"))
-
-    none = F.struct(F.array().cast(made).alias("cuts"), F.lit(None).cast("array<int>").alias("tail"))
-    listed = reports.groupBy("_id").agg(F.collect_list(F.struct("_chunk", "_head", "_tail", "_safe")).alias("_l"))
-    copies = F.size(F.filter("_l", lambda x: x["_chunk"] == 0)).alias("_copies")
-    cuts = listed.select("_id", copies, F.aggregate(F.array_sort(F.array_distinct("_l")), none, step, lambda done: done["cuts"]).alias("_cuts"))
-    cuts = cuts.select("_id", "_copies", F.explode("_cuts").alias("_x")).select("_id", "_copies", F.col("_x.c").alias("_chunk"), F.col("_x.cut").alias("_cut"))
-    upto = Window.partitionBy("_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # copies of a text are the same chunks; few numbers a chunk, no text
+    once = reports.groupBy("_id", "_chunk").agg(F.count(F.lit(1)).cast("int").alias("_copies"), *[F.first(c).alias(c) for c in ("_head", "_tail", "_safe")])
+    order = Window.partitionBy("_id").orderBy("_chunk")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a boundary in common with the chunk before counts if that one is in step, that is, has a cut of its own
+    common = F.array_min(F.array_intersect("_head", F.lag("_tail").over(order)))
+    own = F.when(F.col("_chunk") == 0, F.lit(0)).otherwise(F.col("_safe"))
+    steps = once.withColumn("_common", common).withColumn("_own", own)
+    # its own cut puts a chunk in step, no common boundary puts it out of step, else it is as the one before
+    steps = steps.withColumn("_in", F.last(F.when(F.col("_own").isNotNull(), True).when(F.col("_common").isNull(), False), ignorenulls=True).over(upto))
+    led = F.coalesce(F.lag("_in").over(order), F.lit(False)) & F.col("_common").isNotNull()
+    cuts = steps.withColumn("_cut", F.when(led, F.col("_common")).otherwise(F.col("_own"))).select("_id", "_copies", "_chunk", "_cut")
     # a chunk's own characters up to its cut belong to the piece before it
-    cuts = cuts.withColumn("_piece", F.last(F.when(F.col("_cut").isNotNull(), F.col("_chunk")), ignorenulls=True).over(upto)).withColumn("_earlier", F.lag("_piece").over(Window.partitionBy("_id").orderBy("_chunk")))
+    cuts = cuts.withColumn("_piece", F.last(F.when(F.col("_cut").isNotNull(), F.col("_chunk")), ignorenulls=True).over(upto)).withColumn("_earlier", F.lag("_piece").over(order))
     own = F.substring("_text", 1, size)
     parts = chunks.join(cuts, ["_id", "_chunk"]).select(
         "_id",
