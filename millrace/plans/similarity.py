@@ -485,7 +485,16 @@ def grid_search(spark, folder):
     return spark.createDataFrame(out, "representation string, config string, split string, place int, untuned boolean, gain double, " + ", ".join(f"{c} {'bigint' if c == 'n_evaluated' else 'double'}" for c in columns))
 
 
-@R.query("best_per_metric")
+_ALL = " UNION ALL ".join(f"SELECT '{n}' AS algorithm, * FROM ({R.sql[q]})" for n, q in (("stored", "rank_metrics"), ("popularity", "baseline_popularity"), ("same_brand", "baseline_same_brand")))
+
+
+@R.query(
+    "best_per_metric",
+    f"""WITH al AS ({_ALL}), lo AS ({" UNION ALL ".join(f"SELECT algorithm, '{c}' AS metric, {c} AS value FROM al" for c in _CELLS)}),
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, algorithm) AS k FROM lo) WHERE k = 1),
+wi AS (SELECT a.algorithm, count(*) AS n FROM al a JOIN al b ON {" AND ".join(f"a.{c} > b.{c}" for c in _CELLS)} GROUP BY 1)
+SELECT metric, algorithm, value, coalesce(n, 0)::BIGINT AS n_beaten FROM be LEFT JOIN wi USING (algorithm)""",
+)
 def best_per_metric(spark, folder):
     """Which list is best in each metric, and who beats whom in all of them."""
     named = lambda df, n: df.withColumn("algorithm", F.lit(n))
