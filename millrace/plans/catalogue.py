@@ -381,11 +381,12 @@ def action_counts(spark, folder):
 
 @R.query(
     "merge_groups",
-    "SELECT note, count(*) AS n_members, string_agg(raw_token, ', ' ORDER BY raw_token) AS members FROM (SELECT DISTINCT raw_token, lower(trim(canonical)) AS note FROM note_normalisation WHERE action IN ('KEEP', 'MERGE') AND canonical IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
+    "SELECT note, count(*) AS n_members, string_agg(raw_token, ', ' ORDER BY raw_token) AS members, (row_number() OVER (ORDER BY count(*) DESC, note))::INT AS place FROM (SELECT DISTINCT raw_token, lower(trim(canonical)) AS note FROM note_normalisation WHERE action IN ('KEEP', 'MERGE') AND canonical IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
 )
 def merge_groups(spark, folder):
-    """Canonical notes with all their spellings."""
-    return token_map(spark, folder).groupBy("note").agg(F.count(F.lit(1)).alias("n_members"), F.array_join(F.array_sort(F.collect_list("raw_token")), ", ").alias("members")).where("n_members > 1")
+    """Canonical notes with all their spellings, the largest groups first."""
+    groups = token_map(spark, folder).groupBy("note").agg(F.count(F.lit(1)).alias("n_members"), F.array_join(F.array_sort(F.collect_list("raw_token")), ", ").alias("members")).where("n_members > 1")
+    return groups.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("n_members"), "note"))).orderBy("place")  # of a list of fixed size
 
 
 @R.query(

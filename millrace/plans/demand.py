@@ -298,8 +298,8 @@ def composite(spark, folder) -> DataFrame:
     rows = materialise(rows)
     rows = rows.withColumn("backbone", F.row_number().over(Window.partitionBy().orderBy(F.desc("supply_share"), "cluster")) == 1)  # families, few
     scored = S.z_scores(rows.where("NOT backbone"), list(_PARTS))
-    score = sum((F.col(f"z_{c}") * w for c, w in _PARTS.items()), F.lit(0.0))
-    return scored.withColumns({"score": score, "plain": score - F.col("z_polarity")}).unionByName(rows.where("backbone"), allowMissingColumns=True)
+    score = lambda parts: sum((F.col(f"z_{c}") * w for c, w in parts.items()), F.lit(0.0))
+    return scored.withColumns({"score": score(_PARTS), "plain": score({c: w for c, w in _PARTS.items() if c != "polarity"})}).unionByName(rows.where("backbone"), allowMissingColumns=True)
 
 
 @R.query(
