@@ -175,8 +175,8 @@ def _report(size: int, overlap: int):
         for batch in batches:
             rows = [boundaries(t, c == 0, len(t) <= size, size, overlap) for c, t in zip(batch.column("_chunk").to_pylist(), batch.column("_text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_chunk"), pa.array([r[0] for r in rows], lists), pa.array([r[1] for r in rows], lists), pa.array([r[2] for r in rows], pa.int32())],
-                ["_id", "_chunk", "_head", "_tail", "_safe"],
+                [batch.column("_id"), batch.column("_chunk"), batch.column("_copies"), pa.array([r[0] for r in rows], lists), pa.array([r[1] for r in rows], lists), pa.array([r[2] for r in rows], pa.int32())],
+                ["_id", "_chunk", "_copies", "_head", "_tail", "_safe"],
             )
 
     return run
@@ -188,34 +188,42 @@ def _pieces(long: DataFrame, kind: str, size: int, overlap: int) -> DataFrame:
         raise ValueError("the overlap must be smaller than a chunk")
     kind = _keyed(kind)
     long = long.select(F.struct(F.col("_id").alias("i"), F.xxhash64("_text").alias("h")).alias("_id"), "_text")
-    chunks = long.mapInArrow(_cut(size, overlap), f"_id {kind}, _chunk int, _text string").repartition("_id", "_chunk")
-    reports = chunks.mapInArrow(_report(size, overlap), f"_id {kind}, _chunk int, _head array<int>, _tail array<int>, _safe int")
-    # copies of a text are the same chunks; few numbers a chunk, no text
-    once = reports.groupBy("_id", "_chunk").agg(F.count(F.lit(1)).cast("int").alias("_copies"), *[F.first(c).alias(c) for c in ("_head", "_tail", "_safe")])
+    chunks = long.mapInArrow(_cut(size, overlap), f"_id {kind}, _chunk int, _text string")
+    # copies of a text are the same chunks
+    chunks = chunks.groupBy("_id", "_chunk").agg(F.first("_text").alias("_text"), F.count(F.lit(1)).cast("int").alias("_copies"))
+    reports = chunks.mapInArrow(_report(size, overlap), f"_id {kind}, _chunk int, _copies int, _head array<int>, _tail array<int>, _safe int")
     order = Window.partitionBy("_id").orderBy("_chunk")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a boundary in common with the chunk before counts if that one is in step, that is, has a cut of its own
     common = F.array_min(F.array_intersect("_head", F.lag("_tail").over(order)))
     own = F.when(F.col("_chunk") == 0, F.lit(0)).otherwise(F.col("_safe"))
-    steps = once.withColumn("_common", common).withColumn("_own", own)
+    steps = reports.withColumn("_common", common).withColumn("_own", own)
     # its own cut puts a chunk in step, no common boundary puts it out of step, else it is as the one before
     steps = steps.withColumn("_in", F.last(F.when(F.col("_own").isNotNull(), True).when(F.col("_common").isNull(), False), ignorenulls=True).over(upto))
     led = F.coalesce(F.lag("_in").over(order), F.lit(False)) & F.col("_common").isNotNull()
     cuts = steps.withColumn("_cut", F.when(led, F.col("_common")).otherwise(F.col("_own"))).select("_id", "_copies", "_chunk", "_cut")
     # a chunk's own characters up to its cut belong to the piece before it
-    cuts = cuts.withColumn("_piece", F.last(F.when(F.col("_cut").isNotNull(), F.col("_chunk")), ignorenulls=True).over(upto)).withColumn("_earlier", F.lag("_piece").over(order))
+    cut = F.col("_cut").isNotNull()
+    cuts = cuts.withColumn("_piece", F.last(F.when(cut, F.col("_chunk")), ignorenulls=True).over(upto)).withColumn("_earlier", F.lag("_piece").over(order)).withColumn("_next", F.lead("_cut").over(order))
+    # a piece that ends within its own chunk's overlap, or with the text, has all of its characters there
+    far = F.when(cut, F.lead("_chunk").over(order).isNotNull() & (F.col("_next").isNull() | (F.col("_next") > overlap)))
+    cuts = cuts.withColumn("_far", F.last(far, ignorenulls=True).over(upto)).withColumn("_far_before", F.lag("_far").over(order))
+    near = chunks.join(cuts.where(cut & ~F.col("_far")).drop("_copies"), ["_id", "_chunk"])
+    near = near.select("_id", "_piece", "_copies", F.substring("_text", F.col("_cut") + 1, F.lit(size) - F.col("_cut") + F.coalesce("_next", F.lit(0))).alias("_text"))
+    # the few others are put together from the chunks that they lie in
+    cuts = cuts.where("_far OR _far_before")
     own = F.substring("_text", 1, size)
-    parts = chunks.join(cuts, ["_id", "_chunk"]).select(
+    parts = chunks.join(cuts.drop("_copies"), ["_id", "_chunk"]).select(
         "_id",
         "_copies",
         "_chunk",
         F.explode(
             F.array(
-                F.struct(F.col("_earlier").alias("p"), F.when(F.col("_cut") > 0, F.substring(own, F.lit(1), F.col("_cut"))).when(F.col("_cut").isNull(), own).alias("t")),
-                F.struct(F.when(F.col("_cut").isNotNull(), F.col("_piece")).alias("p"), F.when(F.col("_cut").isNotNull(), F.substring(own, F.col("_cut") + 1, F.lit(size))).alias("t")),
+                F.struct(F.when(F.col("_far_before"), F.col("_earlier")).alias("p"), F.when(F.col("_cut") > 0, F.substring(own, F.lit(1), F.col("_cut"))).when(F.col("_cut").isNull(), own).alias("t")),
+                F.struct(F.when(F.col("_far") & cut, F.col("_piece")).alias("p"), F.when(F.col("_cut").isNotNull(), F.substring(own, F.col("_cut") + 1, F.lit(size))).alias("t")),
             )
         ).alias("_s"),
     )
     parts = parts.where("_s.p IS NOT NULL AND _s.t IS NOT NULL").select("_id", "_copies", F.col("_s.p").alias("_piece"), "_chunk", F.col("_s.t").alias("_t"))
-    held = parts.groupBy("_id", "_piece", "_copies").agg(F.array_sort(F.collect_set(F.struct("_chunk", "_t"))).alias("_l"))
-    return held.select("_id", "_piece", "_copies", F.array_join("_l._t", "").alias("_text"))
+    held = parts.groupBy("_id", "_piece", "_copies").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_t"))).alias("_l"))
+    return near.unionByName(held.select("_id", "_piece", "_copies", F.array_join("_l._t", "").alias("_text")))
