@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import gloss, token
 from millrace.operators import profile
-from millrace.operators.nested import _elements, json_path, latest, many, shred
+from millrace.operators.nested import _elements, is_object, json_path, latest, many, shred
 from millrace.operators.ranking import average_rank, joined_top, nearest_rank, top_per_group
 from millrace.operators.signals import null_if_zero
 from millrace.plans import Registry, table
@@ -118,14 +118,21 @@ def _membership(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("product_id", "cluster", (F.col("_n") / F.sum("_n").over(Window.partitionBy("product_id"))).alias("share"))
 
 
-def accords(spark: SparkSession, folder: str) -> DataFrame:
-    """product_id, accord, strength."""
-    return prepared(spark, "accords", [f"{folder}/perfumes.parquet"], lambda: _accords(spark, folder))
+def _children(spark: SparkSession, folder: str) -> DataFrame:
+    """Accords and claims of all records, from one parse."""
+
+    def build() -> DataFrame:
+        nodes = shred(latest(table(spark, folder, "perfumes"), "id", "scraped_at", "record"), "id", "record", RECORD).nodes
+        held = {"name": "string", "strength": "bigint", "text": "string", "up_votes": "bigint", "down_votes": "bigint"}
+        rows = nodes.where(F.col("type").isin("accord", "claim") & is_object(F.col("v")))
+        return rows.select(F.col("key").alias("product_id"), "type", "place", *[F.try_variant_get("v", json_path((n,)), t).alias(n) for n, t in held.items()])
+
+    return prepared(spark, "children", [f"{folder}/perfumes.parquet"], build)
 
 
-def _accords(spark: SparkSession, folder: str) -> DataFrame:
-    rows = shred(latest(table(spark, folder, "perfumes"), "id", "scraped_at", "record"), "id", "record", RECORD).table("accord")
-    return rows.select(F.col("key").alias("product_id"), F.col("name").alias("accord"), "strength").where("accord IS NOT NULL")
+def accords(spark: SparkSession, folder: str) -> DataFrame:
+    """product_id, accord, strength."""
+    return _children(spark, folder).where("type = 'accord' AND name IS NOT NULL").select("product_id", F.col("name").alias("accord"), "strength")
 
 
 ACCORDS = """acc AS (SELECT product_id, el->>'$.name' AS accord, TRY_CAST(el->>'$.strength' AS BIGINT) AS strength FROM (
@@ -135,12 +142,7 @@ ACCORDS = """acc AS (SELECT product_id, el->>'$.name' AS accord, TRY_CAST(el->>'
 
 def claims(spark: SparkSession, folder: str) -> DataFrame:
     """product_id, polarity, text, up_votes, down_votes."""
-    return prepared(spark, "claims", [f"{folder}/perfumes.parquet"], lambda: _claims(spark, folder))
-
-
-def _claims(spark: SparkSession, folder: str) -> DataFrame:
-    rows = shred(latest(table(spark, folder, "perfumes"), "id", "scraped_at", "record"), "id", "record", RECORD).table("claim")
-    return rows.select(F.col("key").alias("product_id"), F.element_at(F.split("place", r"\."), 2).alias("polarity"), "text", "up_votes", "down_votes")
+    return _children(spark, folder).where("type = 'claim'").select("product_id", F.element_at(F.split("place", r"\."), 2).alias("polarity"), "text", "up_votes", "down_votes")
 
 
 CLAIMS = f"""nodes AS ({_NODES}), claims AS (SELECT product_id, split_part(path, '.', 2) AS polarity, val AS text,
