@@ -14,7 +14,7 @@ from millrace.operators import cluster as C
 from millrace.operators import resolve as E
 from millrace.operators import vectors as V
 from millrace.plans import Registry, table
-from millrace.plans.catalogue import _TYPED, PLACEHOLDERS, product_notes
+from millrace.plans.catalogue import _TYPED, NOTES, PLACEHOLDERS, product_notes
 from millrace.plans.similarity import _PPMI, counts, ppmi
 from millrace.runtime import materialise, scratch
 from millrace.sources import cached_vectors
@@ -259,6 +259,13 @@ def gmm_bic(spark, folder, ks=range(2, 31)):
     return spark.createDataFrame(C.gmm_bic(table(spark, folder, "embeddings"), "embedding", ks), "covariance string, k int, log_likelihood double, bic double")
 
 
+@R.query("product_sentences", f"WITH {NOTES} SELECT product_id, count(*) AS n_words, string_agg(note, ' | ' ORDER BY note) AS sentence FROM pn GROUP BY 1")
+def product_sentences(spark, folder):
+    """The notes of each product in order, as the skip-gram reads them."""
+    said = product_notes(spark, folder).groupBy("product_id").agg(F.array_sort(F.collect_list("note")).alias("words"))
+    return said.select("product_id", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", " | ").alias("sentence"))
+
+
 @R.query("word_vectors")
 def word_vectors(spark, folder):
     """Skip-gram vectors of notes, whole products as sentences."""
@@ -273,12 +280,14 @@ def alternative_clusterings(spark, folder):
     unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
     euclid = np.sqrt(np.maximum(0, (points**2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * points @ points.T))
     cosine = np.maximum(0, 1 - unit @ unit.T)
+    plane = np.sqrt(((points[:, None, :2] - points[None, :, :2]) ** 2).sum(2))  # the two strongest dimensions
     base = C.lloyd(points, 15)
     affinity = np.maximum(0, unit @ unit.T)
     others = {
         "ward": C.cut(C.linkage(euclid, "ward"), 15), "cosine_average": C.cut(C.linkage(cosine, "average"), 15), "complete": C.cut(C.linkage(euclid, "complete"), 15), "single": C.cut(C.linkage(euclid, "single"), 15),
         "spectral": C.spectral(affinity, 15), "gmm_diagonal": C.diagonal_gmm(points, 15)[0], "som": C.self_organising_map(points, 6, 6)[0],
         "louvain": C.louvain(C.square(A.ppmi(counts(spark, folder)).where("ppmi >= 1"), "a", "b", "ppmi", names)), **{f"density_{n}": C.density_clusters(euclid, n) for n in (5, 10, 20)},
+        **{f"plane_density_{n}": C.density_clusters(plane, n) for n in (5, 10, 20)},
     }
     rows = [(n, a, int(b), int(x)) for a, labels in others.items() for n, b, x in zip(names, base, labels, strict=True)]
     long = spark.createDataFrame(rows, "note string, algorithm string, kmeans int, label int")

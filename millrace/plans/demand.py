@@ -197,6 +197,16 @@ def momentum(spark, folder):
     return S.momentum(yearly_shares(spark, folder), "cluster", "year", "supply_share", EARLY, LATE).select("cluster", *_r("early_share", "late_share", "momentum"))
 
 
+@R.query(
+    "momentum_beside_stored",
+    f"{_YEARLY}, mo AS (SELECT cluster, {_mean(EARLY)} AS early_share, {_mean(LATE)} AS late_share FROM y GROUP BY 1) SELECT run_id, territory_id, t.cluster, round(t.momentum, 6) AS stored, round(late_share - early_share, 6) AS momentum, round(early_share, 6) AS early_share, round(late_share, 6) AS late_share FROM (SELECT DISTINCT run_id, territory_id, cluster, momentum FROM territory_scores) t LEFT JOIN mo ON mo.cluster = t.cluster",
+)
+def momentum_beside_stored(spark, folder):
+    """Stored momentum of each scored territory beside its family's shares in both windows."""
+    stored = table(spark, folder, "territory_scores").select("run_id", "territory_id", "cluster", F.round("momentum", 6).alias("stored")).distinct()
+    return stored.join(small(materialise(momentum(spark, folder))), "cluster", "left").select("run_id", "territory_id", "cluster", "stored", "momentum", "early_share", "late_share")
+
+
 _PATTERNS = ", ".join(f"('{k}', '{v}')" for k, v in VOCABULARY.items())
 
 

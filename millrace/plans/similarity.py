@@ -355,7 +355,17 @@ def baseline_same_brand(spark, folder):
     return _metrics(K.same_group_lists(true, items, "product_id", "related_id", "brand", "have", KS[-1]), true)
 
 
-@R.query("baseline_md5_random")
+_DRAW = lambda parts: f"('0x' || substr(md5('random|' || {parts}), 1, 12))::BIGINT"
+
+
+@R.query(
+    "baseline_md5_random",
+    f"""{_TRUTH}, it AS (SELECT DISTINCT product_id AS item FROM products WHERE in_population), nb AS (SELECT greatest(1, floor(count(*) / 8))::BIGINT AS n FROM it),
+ln AS (SELECT item, {_DRAW("item")} % n AS b FROM it, nb), sz2 AS (SELECT b, count(*) AS size FROM ln GROUP BY 1), pc AS (SELECT item, b, row_number() OVER (PARTITION BY b ORDER BY item) - 1 AS place FROM ln),
+sp AS (SELECT product_id, d, {_DRAW("product_id || '|' || d")} AS u FROM (SELECT DISTINCT product_id FROM tr), (SELECT unnest(range({4 * KS[-1]})) AS d)),
+dr AS (SELECT sp.product_id, item, min(d) AS d FROM sp CROSS JOIN nb JOIN sz2 ON sz2.b = u % n JOIN pc ON pc.b = sz2.b AND place = (u // n) % size WHERE item <> sp.product_id GROUP BY 1, 2),
+pl AS (SELECT product_id, item AS related_id, row_number() OVER (PARTITION BY product_id ORDER BY d) AS rank FROM dr), {_metrics_sql('(SELECT * FROM pl WHERE rank <= 20)', 'tr')}""",
+)
 def baseline_md5_random(spark, folder):
     """Products drawn by hash."""
     items = products(spark, folder).where("in_population").select(F.col("product_id").alias("related_id"))
