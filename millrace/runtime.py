@@ -100,12 +100,21 @@ def new_path(spark: SparkSession) -> str:
 def prepared(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
     """A table that several queries read, built by the first one of the session and written to the shared folder.
 
-    It is built anew if any of the input paths has other files, sizes or times than when it was written.
+    It is built anew if any of the input paths has other files, sizes or times than when it was written, or if its own files are gone.
     """
     key = (spark.sparkContext.applicationId, name, file_states(spark, inputs))
-    if key not in _prepared:
-        _prepared[key] = materialise(build())
-    return _prepared[key]
+    held = _prepared.get(key)
+    if held is None or not _stored(spark, held[0]):
+        path = new_path(spark)
+        df = build()
+        df.write.parquet(path)
+        held = _prepared[key] = (path, spark.read.schema(df.schema).parquet(path))
+    return held[1]
+
+
+def _stored(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
 def file_states(spark: SparkSession, paths: Sequence[str]) -> tuple:
@@ -120,7 +129,7 @@ def file_states(spark: SparkSession, paths: Sequence[str]) -> tuple:
 
 
 _swept: set[str] = set()
-_prepared: dict[tuple, DataFrame] = {}
+_prepared: dict[tuple, tuple[str, DataFrame]] = {}
 
 
 def forget(df: DataFrame) -> None:

@@ -1,5 +1,6 @@
 import difflib
 import math
+import shutil
 
 import numpy as np
 import pytest
@@ -276,6 +277,8 @@ def test_prepared_follows_its_inputs(spark, tmp_path):
         for _ in range(2):
             assert prepared(spark, "x", [at], lambda: (built.append(1), spark.read.parquet(at))[1]).count() == n
     assert len(built) == 2
+    shutil.rmtree(prepared(spark, "x", [at], lambda: None).inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    assert prepared(spark, "x", [at], lambda: spark.read.parquet(at)).count() == 5
 
 
 def test_no_local_folder_on_a_cluster(spark, monkeypatch):
