@@ -69,7 +69,7 @@ def test_ties_and_records_have_tables(spark):
 
 def test_alternatives_have_all_minimum_sizes_and_the_strong_graph(spark):
     got = {r.algorithm: r for r in P.alternative_clusterings(spark, FOLDER).collect()}
-    assert {"density_5", "density_10", "density_20"} <= set(got) and len(got) == 11
+    assert {"density_5", "density_10", "density_20"} <= set(got) and len(got) == 14
     names, _ = P._embedded(spark, FOLDER)
     strong = C.square(P.A.ppmi(P.counts(spark, FOLDER)).where("ppmi >= 1"), "a", "b", "ppmi", names)
     assert got["louvain"].n_clusters == len(set(C.louvain(strong)))
