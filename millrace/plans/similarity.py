@@ -13,7 +13,7 @@ from millrace.operators import ranking as K
 from millrace.operators import vectors as V
 from millrace.plans import Registry, table
 from millrace.plans.catalogue import ACCORDS, FAMILY, NOTES, PRODUCTS, _REC, _tier_weighted, accords, membership, product_notes, products
-from millrace.runtime import forget, materialise, ship, small
+from millrace.runtime import dealt, materialise, ship, small
 
 R = Registry()
 
@@ -406,23 +406,62 @@ ALPHAS = tuple(i / 10 for i in range(1, 10))
 UNTUNED = {"note_tfidf": TFIDF_GRID.index((False, 1, True, "none")), "note_svd": SVD_GRID.index((50, 0)), "hybrid": ALPHAS.index(0.5)}
 
 
-def _tfidf_grid(spark, folder, picked) -> DataFrame:
-    """config, product_id, idx, val for the picked numbers of TFIDF_GRID. Products whose notes are all too rare have empty vectors, so that every configuration is asked the same queries."""
+def _held(spark, folder) -> tuple[DataFrame, DataFrame, list]:
+    """Products with notes: product_id, and as arrays their notes' numbers, tier weights, accords' numbers and strengths; products and notes in rows; notes in order with their numbers of products."""
     rows = product_notes(spark, folder, ("tier",))
     heavy = F.create_map(*[F.lit(x) for kv in TIER_WEIGHTS["top_heavy"].items() for x in kv])
     rows = materialise(rows.groupBy("product_id", "note").agg(F.max(F.coalesce(F.try_element_at(heavy, F.col("tier")), F.lit(1.0))).alias("heavy")))
-    seen = rows.groupBy("note").agg(F.count(F.lit(1)).alias("df")).join(_numbered(rows, "note"), "note")
-    n = rows.select("product_id").distinct().count()
-    held = rows.join(small(materialise(seen)), "note").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("idx", "heavy", "df"))).alias("_l"))  # of the bounded vocabulary
-    grid = [F.struct(F.lit(i).alias("config"), *[F.lit(v).alias(c) for c, v in zip(("sub", "least", "idf", "tiers"), TFIDF_GRID[i], strict=True)]) for i in picked]
-    tried = held.withColumn("c", F.explode(F.array(*grid)))
-    tried = tried.withColumn("_l", F.filter("_l", lambda x: x["df"] >= F.col("c.least")))
+    seen = rows.groupBy("note").agg(F.count(F.lit(1)).alias("df")).orderBy("note").limit(C.LIMIT + 1).collect()
+    at = spark.createDataFrame([(r["note"], i) for i, r in enumerate(seen)], "note string, idx int")
+    lists = lambda df, *cs: df.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct(*cs))).alias("_l")).select("product_id", *[F.col(f"_l.{c}").alias(c) for c in cs])
+    notes = lists(dealt(rows, F.col("product_id")).join(small(at), "note"), "idx", "heavy")  # of the bounded vocabulary
+    acc = materialise(accords(spark, folder).where("strength IS NOT NULL").groupBy("product_id", "accord").agg(F.max("strength").cast("double").alias("strength")))
+    acc = lists(acc.join(small(materialise(_numbered(acc, "accord").withColumnRenamed("idx", "acc"))), "accord"), "acc", "strength")
+    held = notes.join(acc, "product_id", "left")
+    none = lambda c: F.coalesce(c, F.expr(f"CAST(array() AS {dict(held.dtypes)[c]})")).alias(c)
+    return materialise(held.select("product_id", "idx", "heavy", none("acc"), none("strength"))), rows, seen
 
-    def weight(x):
-        tf = F.when(F.col("c.tiers") == "top_heavy", x["heavy"]).otherwise(1.0)
-        return F.when(F.col("c.sub"), 1 + F.log(tf)).otherwise(tf) * F.when(F.col("c.idf"), F.log((1.0 + n) / (1.0 + x["df"])) + 1).otherwise(1.0)
 
-    return tried.select("c.config", "product_id", F.col("_l.idx").alias("idx"), V.unit(F.transform("_l", weight)).alias("val"))
+def _tfidf_vectors(sub: bool, least: int, idf: bool, tiers: str, df: np.ndarray, n: int):
+    """Vectors of one configuration of TFIDF_GRID. Products whose notes are all too rare have empty ones, so that every configuration is asked the same queries."""
+    kept, scale = df >= least, np.log((1.0 + n) / (1.0 + df)) + 1 if idf else np.ones(len(df))
+
+    def build(lists):
+        (size, at), tf = lists["idx"], lists["heavy"][1]
+        tf = tf if tiers == "top_heavy" else np.ones(len(at))
+        held = kept[at]
+        row, at, tf = np.repeat(np.arange(len(size)), size)[held], at[held], tf[held]
+        return np.ones(len(size), bool), V.sparse_unit(len(size), row, at, (1 + np.log(tf) if sub else tf) * scale[at])
+
+    return build
+
+
+def _svd_vectors(full, size: int):
+    """Vectors of one configuration of SVD_GRID: means of the notes' vectors; full is broadcast."""
+
+    def build(lists):
+        n, at = lists["idx"]  # no product is without notes
+        x = np.add.reduceat(full.value[at, :size], np.cumsum(n) - n, axis=0) / n[:, None] if len(n) else np.zeros((0, size))
+        return np.ones(len(n), bool), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    return build
+
+
+def _hybrid_vectors(alpha: float, notes):
+    """Vectors of one of ALPHAS, of products that have accords: notes and accords side by side, as V.blend."""
+
+    def build(lists):
+        _, a = notes(lists)
+        size, at = lists["acc"]
+        b = V.sparse_unit(len(size), np.repeat(np.arange(len(size)), size), at, lists["strength"][1])
+        return size > 0, V.Sparse(a.n, *[np.concatenate(x) for x in ((a.row, b.row), (a.col, b.col.astype(np.int64) + (1 << 24)), (a.val * alpha**0.5, b.val * (1 - alpha) ** 0.5))])
+
+    return build
+
+
+def _svd_of(pairs: DataFrame, names: list, shifts) -> dict[int, np.ndarray]:
+    """The notes' vectors by shift. U S of fewer dimensions is the beginning of that of more."""
+    return {shift: C.svd_embedding(C.square(A.ppmi(pairs, shift=shift), "a", "b", "ppmi", names), max(size for size, _ in SVD_GRID)) for shift in shifts}
 
 
 def _svd_grid(spark, folder, picked) -> DataFrame:
@@ -431,8 +470,7 @@ def _svd_grid(spark, folder, picked) -> DataFrame:
     notes = materialise(product_notes(spark, folder))
     names = [r["note"] for r in notes.select("note").distinct().orderBy("note").limit(C.LIMIT + 1).collect()]
     found, grid = materialise(A.cooccurrence(notes, "product_id", "note")), {i: SVD_GRID[i] for i in picked}
-    # U S of fewer dimensions is the beginning of that of more
-    full = {shift: C.svd_embedding(C.square(A.ppmi(found, shift=shift), "a", "b", "ppmi", names), max(size for size, _ in SVD_GRID)) for shift in {s for _, s in grid.values()}}
+    full = _svd_of(found, names, {s for _, s in grid.values()})
     at = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "note string, idx int")
     held = notes.join(small(at), "note").groupBy("product_id").agg(F.collect_list("idx").alias("_l"))
     kind = held.schema["product_id"].dataType.simpleString()
@@ -447,16 +485,6 @@ def _svd_grid(spark, folder, picked) -> DataFrame:
     return held.mapInPandas(means, f"config int, product_id {kind}, idx array<int>, val array<double>")
 
 
-def _hybrid_grid(spark, folder, picked) -> DataFrame:
-    """config, product_id, idx, val for the picked numbers of ALPHAS."""
-    notes, acc = materialise(note_vectors(spark, folder)), materialise(accord_vectors(spark, folder))
-    out = None
-    for i in picked:
-        one = V.blend(notes, acc, "product_id", ALPHAS[i]).select(F.lit(i).alias("config"), "product_id", "idx", "val")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def _named(representation: str, config: int) -> str:
     if representation == "note_tfidf":
         return "sublinear={}, min_df={}, idf={}, tiers={}".format(*TFIDF_GRID[config])
@@ -471,26 +499,61 @@ def grid_search(spark, folder):
     at 10 less that of the untuned one on the same queries.
     """
     true = materialise(truth(spark, folder).join(split_md5(spark, folder), "product_id"))
-
-    def measured(build, picked, split: str) -> list:
-        rows = materialise(build(spark, folder, picked))
-        asked = rows.join(true.where(F.col("split") == split).select("product_id").distinct(), "product_id", "left_semi")
-        lists = V.top_k(asked, rows, "product_id", KS[-1], by="config").select("config", F.col("query").alias("product_id"), F.col("neighbour").alias("related_id"), "rank")
-        out = _rounded(K.ranking_metrics(materialise(lists), true, "product_id", "related_id", "rank", KS, by=["config"])).collect()  # configurations, few
-        forget(rows)
-        return out
+    held, rows, seen = _held(spark, folder)
+    grids = {"note_tfidf": TFIDF_GRID, "note_svd": SVD_GRID, "hybrid": ALPHAS}
+    numbered = {(name, i): v for v, (name, i) in enumerate((name, i) for name, grid in grids.items() for i in range(len(grid)))}
+    df = np.array([r["df"] for r in seen], float)
+    n, n_accords = held.agg(F.count(F.lit(1)), F.count_if(F.size("acc") > 0)).first()
+    lists_of = {"note_tfidf": n > 1, "note_svd": n > 1, "hybrid": n_accords > 1}  # else there is nothing to list
+    names = [r["note"] for r in seen]
+    full = _svd_of(materialise(A.cooccurrence(rows, "product_id", "note")), names, sorted({s for _, s in SVD_GRID})) if n > 1 else {}
+    full = {shift: spark.sparkContext.broadcast(m) for shift, m in full.items()}
+    notes = _tfidf_vectors(*TFIDF_GRID[UNTUNED["note_tfidf"]], df, n)
+
+    def vectors(name: str, i: int):
+        if name == "note_tfidf":
+            return _tfidf_vectors(*TFIDF_GRID[i], df, n)
+        return _svd_vectors(full[SVD_GRID[i][1]], SVD_GRID[i][0]) if name == "note_svd" else _hybrid_vectors(ALPHAS[i], notes)
+
+    def alike(name: str, i: int) -> tuple:
+        """What the vectors depend on: without tier weights 1 + ln(1) is 1, and bounds below the rarest note leave nothing out."""
+        if name != "note_tfidf":
+            return name, i
+        sub, least, idf, tiers = TFIDF_GRID[i]
+        return name, sub and tiers != "none", tuple(np.flatnonzero(df < least)), idf, tiers
+
+    def measured(picked: list, split: str) -> list:
+        picked = [x for x in picked if lists_of[x[0]]]
+        if not picked:
+            return []
+        firsts = {}
+        for x in picked:
+            firsts.setdefault(alike(*x), []).append(numbered[x])
+        asked = true.where(F.col("split") == split).select("product_id", "related_id")
+        variants = {numbered[x]: vectors(*x) for x in picked if numbered[x] == firsts[alike(*x)][0]}
+        found = V.places(asked, held, "product_id", "related_id", "product_id", KS[-1], variants)
+        same = spark.createDataFrame([(vs[0], v) for vs in firsts.values() for v in vs], "variant int, config int")  # configurations, few
+        found = found.join(F.broadcast(same), "variant").select("config", F.col("query").alias("product_id"), F.col("item").alias("related_id"), "rank")
+        # a row that hits nothing stands for the list of each query
+        tried = F.filter(F.array(*[F.struct(F.lit(numbered[x]).alias("c"), F.lit(x[0] == "hybrid").alias("a")) for x in picked]), lambda x: ~x["a"] | (F.size("acc") > 0))
+        lists = held.join(small(materialise(asked.select("product_id").distinct())), "product_id").select(F.explode(tried).alias("c"), "product_id")
+        lists = lists.select("c.c", "product_id", F.lit(None).cast(dict(true.dtypes)["related_id"]).alias("related_id"), F.lit(None).cast("int").alias("rank")).withColumnRenamed("c", "config")
+        return _rounded(K.ranking_metrics(materialise(lists.unionByName(found)), true, "product_id", "related_id", "rank", KS, by=["config"])).collect()  # configurations, few
 
     columns, out = None, []
-    for name, build, size in (("note_tfidf", _tfidf_grid, len(TFIDF_GRID)), ("note_svd", _svd_grid, len(SVD_GRID)), ("hybrid", _hybrid_grid, len(ALPHAS))):
-        tried = sorted(measured(build, range(size), "validation"), key=lambda r: (-r["precision_10"], r["config"]))
+    by_number = {v: x for x, v in numbered.items()}
+    all_tried = sorted(measured(list(numbered), "validation"), key=lambda r: (-r["precision_10"], r["config"]))
+    tried_of = {name: [r for r in all_tried if by_number[r["config"]][0] == name] for name in grids}
+    picked = [x for name, rs in tried_of.items() if rs for x in sorted({by_number[rs[0]["config"]], (name, UNTUNED[name])})]
+    all_tested = sorted(measured(picked, "test"), key=lambda r: r["config"])
+    for name, tried in tried_of.items():
         place = {r["config"]: i for i, r in enumerate(tried, 1)}
-        tested = measured(build, sorted({tried[0]["config"], UNTUNED[name]}), "test") if tried else []
-        for split, rows in (("validation", tried), ("test", tested)):
-            untuned = next((r["precision_10"] for r in rows if r["config"] == UNTUNED[name]), None)
-            for r in rows:
+        for split, found in (("validation", tried), ("test", [r for r in all_tested if by_number[r["config"]][0] == name])):
+            untuned = next((r["precision_10"] for r in found if r["config"] == numbered[name, UNTUNED[name]]), None)
+            for r in found:
                 columns = [c for c in r.asDict() if c != "config"]
                 gain = None if untuned is None else round(r["precision_10"] - untuned, 6)
-                out.append((name, _named(name, r["config"]), split, place[r["config"]], r["config"] == UNTUNED[name], gain, *[r[c] for c in columns]))
+                out.append((name, _named(*by_number[r["config"]]), split, place[r["config"]], r["config"] == numbered[name, UNTUNED[name]], gain, *[r[c] for c in columns]))
     columns = columns or ["n_evaluated", *[f"{m}_{k}" for k in KS for m in ("precision", "recall", "mrr", "hit")]]
     return spark.createDataFrame(out, "representation string, config string, split string, place int, untuned boolean, gain double, " + ", ".join(f"{c} {'bigint' if c == 'n_evaluated' else 'double'}" for c in columns))
 

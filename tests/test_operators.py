@@ -125,6 +125,32 @@ def test_top_k_by_variant(spark):
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("first", [1_000, 60])
+def test_places_are_those_of_the_lists(spark, first):
+    # functions of the test, so that they reach the workers by value
+    def first_two(lists):
+        n, v = lists["v"]
+        x = v.reshape(len(n), -1)[:, :2]
+        return x[:, 0] != 2, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def all_columns(lists):
+        n, v = lists["v"]
+        return np.ones(len(n), bool), vectors.sparse_unit(len(n), np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(k) for k in n]), v)
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, size=(300, 4)).astype(float)  # many equal rows, some of zeros
+    held = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    pairs = [(int(q), int(i)) for q, i in rng.integers(0, 310, size=(1_500, 2))] + [(3, 3), (4, None)]  # some to themselves or unknown
+    asked = spark.createDataFrame(pairs, "q long, i long")
+    got = rows(vectors.places(asked, held, "q", "i", "id", 20, {7: all_columns, 2: first_two}, first=first, alive=200).select("variant", "query", "item", "rank"))
+    want = []
+    for variant, of in ((7, held), (2, held.where("v[0] <> 2").select("id", F.slice("v", 1, 2).alias("v")))):
+        lists = vectors.top_k(vectors.from_dense(of, "id", "v"), vectors.from_dense(of, "id", "v"), "id", 20)
+        want += [(variant, *r) for r in rows(lists.select("query", F.col("neighbour").alias("item"), "rank")) if (r[0], r[1]) in set(pairs)]
+    assert len(want) > 50 and {w[0] for w in want} == {2, 7}
+    assert got == sorted(want, key=repr)
+
+
 def test_components_and_pick(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y"), (None, "x")], "a string, b string")
     got = dict(rows(resolve.components(edges, "a", "b")))
